@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that one Arrow batch hands to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 256
@@ -35,6 +38,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def per_text(df: DataFrame, text: str, keep: list[str], setup, schema: str) -> DataFrame:
+    """Columns ``keep`` of ``df`` as they are, and those of ``schema`` made from the whole texts of column ``text``.
+
+    ``setup()`` runs once in a task and returns a function from a list of texts (null: empty) to a list for each column.
+    """
+    small_batches(df.sparkSession)
+    full = T.StructType([*(df.schema[c] for c in keep), *T.StructType.fromDDL(schema).fields])
+    made = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        f = setup()
+        for batch in batches:
+            values = f([x or "" for x in batch.column(text).to_pylist()])
+            arrays = [pa.array(v, field.type) for v, field in zip(values, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], [*keep, *made.names])
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, full)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for rows kept from training: crc32 of the id's text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
