@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_duplicates
 from .fingerprint import fingerprints
 from .html_text import main_text
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
 from .toxicity import toxicity
@@ -49,6 +50,11 @@ def op2(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op3_near_dedup")
+def op3(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_html")
 def op5(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
