@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from .html_text import main_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
+from .suffix_dedup import without_repeats
 from .toxicity import toxicity
 
 QUERIES: dict = {}
@@ -95,6 +97,16 @@ def op9(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -50,7 +50,7 @@ def per_text(df: DataFrame, text: str, keep: list[str], setup, schema: str) -> D
     def run(batches):
         f = setup()
         for batch in batches:
-            values = f([x or "" for x in batch.column(text).to_pylist()])
+            values = f(["" if x is None else x for x in batch.column(text).to_pylist()])
             arrays = [pa.array(v, field.type) for v, field in zip(values, made, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], [*keep, *made.names])
 
