@@ -26,7 +26,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTE = np.random.default_rng(29).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _LOW = np.uint64((1 << 24) - 1)
 #: Bytes of segments in a bucket, kinds of segments an anchor may bring into one, and what its strings may be apart from a core of a split.
-BUCKET_BYTES, KINDS, STEPS = 2 << 20, 4000, (42, 21, 10, 5, 2, 1)
+BUCKET_BYTES, KINDS, STEPS = 3 << 18, 2500, (42, 21, 10, 5, 2, 1)
 #: A text is read in parts of this many bytes, overlapping by SPAN - 1.
 PART = 1 << 22
 
