@@ -100,7 +100,7 @@ def bget_hits_and_misses(spark, sf_dir):
 @query(
     "bget_typed_mismatch",
     f"""SELECT r.s, 'totalprice' AS p, CASE WHEN r.s % 2 = 0 THEN 'DOUBLE' ELSE 'BYTE' END AS wanted, o_totalprice AS o, CASE WHEN o_orderkey IS NOT NULL THEN 'DOUBLE' END AS o_type,
-        CASE WHEN o_orderkey IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status, CASE WHEN o_orderkey IS NOT NULL THEN r.s % 2 <> 0 END AS type_mismatch FROM {ASKED} r LEFT JOIN orders ON o_orderkey = r.s""",
+        CASE WHEN o_orderkey IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status, coalesce(o_orderkey IS NOT NULL AND r.s % 2 <> 0, false) AS type_mismatch FROM {ASKED} r LEFT JOIN orders ON o_orderkey = r.s""",
 )
 def bget_typed_mismatch(spark, sf_dir):
     asked = asked_orders(spark, sf_dir).withColumn("wanted", F.when(F.col("s") % 2 == 0, "DOUBLE").otherwise("BYTE"))
@@ -273,7 +273,7 @@ def hist_upper_bound(spark, sf_dir):
     return H.edges(_values(spark, sf_dir), ["name"], _FIRST, "10_BUCKETS").select("name", "top")
 
 
-@query("hist_global", "WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM (SELECT value FROM events ORDER BY event_id LIMIT 100)) SELECT CAST(least(floor((value - lo) / ceil((hi - lo) / 10)), 9) AS INTEGER) AS bucket, count(*) AS count FROM events, s WHERE value >= lo GROUP BY 1")
+@query("hist_global", "WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM (SELECT value FROM events ORDER BY event_id LIMIT 100)) SELECT CAST(len(list_filter(list_transform(range(0, 10), lambda i: lo + i * ceil((hi - lo) / 10)), lambda e: e <= value)) - 1 AS INTEGER) AS bucket, count(*) AS count FROM events, s WHERE value >= lo GROUP BY 1")
 def hist_global(spark, sf_dir):
     return H.histogram(_values(spark, sf_dir).drop("name"), [], 100, "10_BUCKETS").filter("count > 0").select("bucket", "count")
 
@@ -282,7 +282,7 @@ def hist_global(spark, sf_dir):
     "hist_per_datastore",
     """WITH v AS (SELECT CAST(user_id % 3 AS INTEGER) AS ds, event_type AS name, value AS o, row_number() OVER (PARTITION BY user_id % 3, event_type ORDER BY event_id) AS rn FROM events),
        f AS (SELECT ds, name, min(o) AS lo, max(o) AS hi FROM v WHERE rn <= 20 GROUP BY 1, 2)
-       SELECT v.ds, v.name, CAST(CASE WHEN hi > lo THEN least(floor((o - lo) / ceil((hi - lo) / 10)), 9) ELSE 9 END AS INTEGER) AS bucket, count(*) AS count FROM v JOIN f ON v.ds = f.ds AND v.name = f.name WHERE o >= lo GROUP BY ALL""",
+       SELECT v.ds, v.name, CAST(len(list_filter(list_transform(range(0, 10), lambda i: lo + i * ceil((hi - lo) / 10)), lambda e: e <= o)) - 1 AS INTEGER) AS bucket, count(*) AS count FROM v JOIN f ON v.ds = f.ds AND v.name = f.name WHERE o >= lo GROUP BY ALL""",
 )
 def hist_per_datastore(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).cast("int").alias("ds"), F.col("event_type").alias("name"), F.col("value").alias("o"), F.col("event_id").alias("seq"))

@@ -75,20 +75,21 @@ def encode_float(v: Column, precision: int, neg: str = NEG, pos: str = POS) -> C
 def decode_float(e: Column, neg: str = NEG, pos: str = POS) -> Column:
     """The value of an encoded float, as double; null where the text is no such encoding."""
     below = F.substring(e, 1, 1) == neg
-    inner = F.substring(e, 2, F.length(e) - 2)
-    sign = F.regexp_extract(inner, rf"^(\Q{neg}\E+|\Q{pos}\E+)", 1)
-    level = F.length(sign)
-    # A power of ten of a double has at most three digits: one level, or two with its length.
-    flipped = F.startswith(inner, F.lit(neg))
-    after = F.substring(inner, level + 1, F.length(inner))
-    head = F.substring(after, 1, 1)
-    size = F.when(level <= 1, F.lit(1)).otherwise(1 + F.when(flipped, _flip(head)).otherwise(head).try_cast("int"))
-    power = F.when(level == 0, F.lit(0)).otherwise(decode_int(F.substring(inner, F.lit(1), level + size), neg, pos).cast("int"))
-    digits = F.when(level == 0, F.substring(inner, 2, F.length(inner))).otherwise(F.substring(after, size + 1, F.length(after)))
-    mantissa = F.concat(F.lit("0."), F.when(below, _flip(digits)).otherwise(digits)).try_cast("double")
+    # Sign, the power's signs, the rest of the power and the mantissa, the closing sign. The power has at most three
+    # digits: one sign and one digit, or two signs, their number and the digits.
+    part = lambda i: F.regexp_extract(e, rf"^[\Q{neg}{pos}\E]([\Q{neg}{pos}\E]*)(\d+)[\Q{neg}{pos}\E]$", i)
+    signs, digits = part(1), part(2)
+    flipped, level = signs.startswith(neg), F.length(signs)
+    long = F.substring(digits, 1, 1).isin("3", "6")
+    skip = F.when(level == 2, 1).otherwise(0)
+    size = F.when(level < 2, 1).when(long, 3).otherwise(2)
+    shown = F.substring(digits, skip + 1, size)
+    power = F.when(flipped, -_flip(shown).try_cast("int")).otherwise(shown.try_cast("int"))
+    rest = F.substring(digits, skip + size + 1, F.length(digits))
+    mantissa = F.concat(F.lit("0."), F.when(below, _flip(rest)).otherwise(rest)).try_cast("double")
     value = mantissa * F.pow(F.lit(10.0), F.when(below, -power).otherwise(power))
-    ok = F.rlike(e, F.lit(rf"^(\Q{neg}\E.*\Q{pos}\E|\Q{pos}\E.*\Q{neg}\E)$"))
-    return F.when(e == "0", F.lit(0.0)).when(ok, F.when(below, -value).otherwise(value))
+    closed = F.substring(e, 1, 1) != F.substring(e, -1, 1)
+    return F.when(e == "0", F.lit(0.0)).when(closed & (digits != ""), F.when(below, -value).otherwise(value))
 
 
 def little_endian(v: Column, size: int = 8) -> Column:

@@ -25,7 +25,7 @@ def bget(triples: DataFrame, requests: DataFrame, wanted: str | None = None) ->
     kept = ["s", "p", "o", *(["o_type"] if wanted else [])]
     hit = requests.join(triples.select(*kept, F.lit(True).alias("_hit")), ["s", "p"], "left")
     out = hit.withColumn("status", F.when(F.col("_hit"), SUCCESS).otherwise(ERROR)).drop("_hit")
-    return out.withColumn("type_mismatch", F.col(wanted) != F.col("o_type")) if wanted else out
+    return out.withColumn("type_mismatch", F.coalesce(F.col(wanted) != F.col("o_type"), F.lit(False))) if wanted else out
 
 
 def _from(s, p=None) -> Column:
