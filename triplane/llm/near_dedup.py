@@ -182,6 +182,12 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(similar, "a long, b long")
 
 
+def _listed(posts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys..., c, v, early: the postings (c, v, n) of classes that have at least MATCHES; early: among the rarest, one of which a match must hold."""
+    each = posts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "c", "v"))).alias("p")).filter(F.size("p") >= MATCHES)  # COORDINATES at most
+    return each.select(*keys, F.size("p").alias("m"), F.posexplode("p").alias("i", "x")).select(*keys, "x.c", "x.v", (F.col("i") <= F.col("m") - MATCHES).alias("early"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; component_id is the smallest doc_id linked.
 
@@ -191,12 +197,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     made = cut(signatures(docs))
     live = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(live.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.first("sig").alias("sig")))
+    classes = cut(live.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     posts = classes.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v"))
     lists = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posts.join(lists, ["c", "v"])
-    by_rep = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "c", "v"))).alias("p")).filter(F.size("p") >= MATCHES)
-    prefix = cut(by_rep.select("rep", F.inline(F.slice("p", F.lit(1), F.size("p") - MATCHES + 1))).select("c", "v", "rep"))
+    listed = cut(_listed(shared, ["rep", "n_shingles"]))
+    prefix = listed.filter("early").select("c", "v", "rep")
     info = classes.select("rep", "n_shingles", "sig")
 
     # First round: each class and the hub (smallest class of a list) that its signature agrees with most.
@@ -209,15 +215,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     best = with_sig(met).groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a")))["a"].alias("a"))
     first = cut(best.select((-F.col("a")).alias("a"), "b"))
-    wanted = prefix.select("rep").distinct()
+    wanted = listed.select("rep").distinct()
     texts = cut(docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep").dropDuplicates(["rep"]))
     linked = cut(_confirm(first, texts))
     roots = cut(components(linked))
 
-    # Second round: every pair that meets in a list of several components and is in two of them.
-    placed = prefix.join(roots, prefix.rep == roots.node, "left").select("c", "v", "rep", F.coalesce("root", "rep").alias("root"))
-    open_lists = placed.groupBy("c", "v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("c", "v")
-    sized = cut(placed.join(open_lists, ["c", "v"]).join(info.select("rep", "n_shingles"), "rep"))
+    # Second round: what one component has to itself can match no other one, as with postings that nobody shares. So
+    # only lists of several components count, each class needs MATCHES of them, and the rarest (by components) are merged.
+    placed = cut(listed.select("c", "v", "rep", "n_shingles").join(roots, F.col("rep") == F.col("node"), "left").select("c", "v", "rep", "n_shingles", F.coalesce("root", "rep").alias("root")))
+    open_lists = placed.select("c", "v", "root").distinct().groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sized = cut(_listed(placed.join(open_lists, ["c", "v"]), ["rep", "n_shingles", "root"]).filter("early"))
     x, y = sized.alias("x"), sized.alias("y")
     meet = (F.col("x.c") == F.col("y.c")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _sized("x.n_shingles", "y.n_shingles")
     pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
