@@ -6,9 +6,11 @@ postings that nobody shares are skipped, a document with fewer shared postings t
 rest only a prefix, the rarest postings, is merged into candidates: two documents with MATCHES postings in common meet in
 it. Candidates whose signatures agree often enough are confirmed on their full sets.
 
-Documents of equal sets are one class from the start. Classes are first linked to one hub each, so that a group of
-copies costs as many checks as it has members; then every pair of classes that meet in a list, and that those links
-have not joined, is checked. Nothing is left out.
+Documents of equal sets are one class from the start. Each class is first compared with one hub, the class of most and
+longest lists among those it meets, so that a group of copies costs as many checks as it has members. Then the classes
+that meet in a list and that those links have not joined are checked, but for pairs that their common hub rules out:
+two sets share at most what each shares with the hub, and those shingles beside it that another of its members has too.
+Nothing else is left out.
 """
 
 from __future__ import annotations
@@ -145,16 +147,19 @@ def _matches(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _sized(a: str, b: str):
+def _sized(a, b):
     """Whether two sets' sizes allow the similarity."""
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``texts``: rep, text. A hub's pairs are dealt by a salt."""
+def _compared(pairs: DataFrame, texts: DataFrame, rest: bool) -> DataFrame:
+    """a, b, linked, same, rest of the pairs (a, b), on their full sets; ``texts``: rep, text. A hub's pairs are dealt by a salt.
+
+    linked: whether they are similar enough; same: the shingles they share; rest: those of b only, where ``rest`` asks for them.
+    """
     small_batches(pairs.sparkSession)
     # Each text is sent once to every part it is needed in: pairs are dealt by their hub and a salt of about 64 members.
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
     salted = cut(pairs.join(counts, "a").withColumn("part", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 64).cast("long")))).select("part", "a", "b"))
     need = salted.select("part", F.col("a").alias("rep"), F.lit(None).cast("long").alias("hub")).distinct().unionByName(salted.select("part", F.col("b").alias("rep"), F.col("a").alias("hub")))
     rows = need.join(texts, "rep")
@@ -163,7 +168,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         hubs: dict = {}
         waiting = None
         for batch in batches:
-            a, b = [], []
+            a, b, linked, same, beside = [], [], [], [], []
             for part, rep, hub, text in zip(*(batch.column(c).to_pylist() for c in ("part", "rep", "hub", "text")), strict=True):
                 if part != waiting:
                     hubs, waiting = {}, part
@@ -173,19 +178,32 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 else:
                     h = hubs[hub]
                     both = np.intersect1d(h, s, assume_unique=True).size
-                    if 100 * both >= SIMILAR * (h.size + s.size - both):
-                        a.append(hub), b.append(rep)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a.append(hub), b.append(rep), same.append(both)
+                    linked.append(100 * both >= SIMILAR * (h.size + s.size - both))
+                    beside.append(np.setdiff1d(s, h, assume_unique=True).view(np.int64) if rest else None)
+            kinds = {"a": pa.int64(), "b": pa.int64(), "linked": pa.bool_(), "same": pa.int64(), "rest": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((a, b, linked, same, beside), kinds.values(), strict=True)], list(kinds))
 
     # Sorted so that a part's hub comes before its members: one hub's set is held at a time.
     dealt = rows.repartition("part").sortWithinPartitions("part", F.col("hub").asc_nulls_first())
-    return dealt.mapInArrow(similar, "a long, b long")
+    return dealt.mapInArrow(similar, "a long, b long, linked boolean, same long, rest array<long>")
 
 
 def _listed(posts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys..., c, v, early: the postings (c, v, n) of classes that have at least MATCHES; early: among the rarest, one of which a match must hold."""
+    """keys..., p, e of classes that have at least MATCHES postings (c, v, n): all, the rarest first, and the prefix of them, one of which a match must hold."""
     each = posts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "c", "v"))).alias("p")).filter(F.size("p") >= MATCHES)  # COORDINATES at most
-    return each.select(*keys, F.size("p").alias("m"), F.posexplode("p").alias("i", "x")).select(*keys, "x.c", "x.v", (F.col("i") <= F.col("m") - MATCHES).alias("early"))
+    return each.withColumn("e", F.slice("p", 1, F.size("p") - MATCHES + 1))
+
+
+def _met(x: str, y: str):
+    """Whether rows x and y, of one key, are a new pair: met here first, and possible by sizes, signatures and their hub."""
+    of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
+    (rx, ry), (nx, ny), (hx, hy) = of("rep"), of("n_shingles"), of("hub")
+    most = F.least(*of("same")) + F.least(*of("extra"))  # shingles in common, where the hub is one
+    apart = (hx == hy) & (100 * most < SIMILAR * (nx + ny - most))
+    known = F.coalesce(apart, F.lit(False)) | F.coalesce(hx == ry, F.lit(False)) | F.coalesce(hy == rx, F.lit(False))
+    first = F.array_min(F.array_intersect(*of("keys"))) == F.col(f"{x}.key")
+    return (rx < ry) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & _sized(nx, ny) & ~known & first & (F.size(F.array_intersect(*of("values"))) >= MATCHES)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -202,33 +220,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posts.join(lists, ["c", "v"])
     listed = cut(_listed(shared, ["rep", "n_shingles"]))
-    prefix = listed.filter("early").select("c", "v", "rep")
+    prefix = listed.withColumn("weight", F.aggregate("e", F.lit(0).cast("long"), lambda t, x: t + x.n)).select("rep", "weight", F.explode("e").alias("x")).select("x.c", "x.v", "rep", "weight")
     info = classes.select("rep", "n_shingles", "sig")
 
-    # First round: each class and the hub (smallest class of a list) that its signature agrees with most.
-    hubs = prefix.groupBy("c", "v").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = prefix.withColumnRenamed("rep", "b").join(hubs, ["c", "v"]).filter("a <> b").select("a", "b").distinct()
-    with_sig = lambda p: (
-        p.join(info.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
+    # First round: each class and the hub (the class of a list whose prefix is the most common) that most classes may match.
+    hubs = prefix.groupBy("c", "v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("a")))["a"].alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "v", (-F.col("a")).alias("a"))
+    met = prefix.select("c", "v", F.col("rep").alias("b")).join(hubs, ["c", "v"]).filter("a <> b").select("a", "b").distinct()
+    may = cut(
+        met.join(info.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
         .join(info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
-        .withColumn("m", _matches("sa", "sb")).filter((F.col("m") >= MATCHES) & _sized("na", "nb")).select("a", "b", "m")
+        .filter((_matches("sa", "sb") >= MATCHES) & _sized(F.col("na"), F.col("nb"))).select("a", "b")
     )
-    best = with_sig(met).groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a")))["a"].alias("a"))
-    first = cut(best.select((-F.col("a")).alias("a"), "b"))
+    members = cut(may.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    best = may.join(members, "a").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a"))
     wanted = listed.select("rep").distinct()
     texts = cut(docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep").dropDuplicates(["rep"]))
-    linked = cut(_confirm(first, texts))
+    first = cut(_compared(cut(best.select((-F.col("a")).alias("a"), "b")), texts, rest=True))
+    linked = first.filter("linked").select("a", "b")
     roots = cut(components(linked))
 
+    # What members of a hub share beside it.
+    rest = first.select("a", "b", F.explode("rest").alias("r"))
+    twice = rest.groupBy("a", "r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "r")
+    extra = rest.join(twice, ["a", "r"]).groupBy("b").agg(F.count(F.lit(1)).alias("extra"))
+    family = first.select("b", "a", "same").join(extra, "b", "left").select(F.col("b").alias("rep"), F.col("a").alias("hub"), "same", F.coalesce("extra", F.lit(0)).alias("extra"))
+
     # Second round: what one component has to itself can match no other one, as with postings that nobody shares. So
     # only lists of several components count, each class needs MATCHES of them, and the rarest (by components) are merged.
-    placed = cut(listed.select("c", "v", "rep", "n_shingles").join(roots, F.col("rep") == F.col("node"), "left").select("c", "v", "rep", "n_shingles", F.coalesce("root", "rep").alias("root")))
+    place = cut(wanted.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root")).join(family, "rep", "left"))
+    placed = cut(listed.select("rep", "n_shingles", F.explode("p").alias("x")).select("x.c", "x.v", "rep", "n_shingles").join(place, "rep"))
     open_lists = placed.select("c", "v", "root").distinct().groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = cut(_listed(placed.join(open_lists, ["c", "v"]), ["rep", "n_shingles", "root"]).filter("early"))
-    x, y = sized.alias("x"), sized.alias("y")
-    meet = (F.col("x.c") == F.col("y.c")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _sized("x.n_shingles", "y.n_shingles")
-    pairs = x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(_confirm(cut(with_sig(pairs).select("a", "b")), texts))
+    many = _listed(placed.join(open_lists, ["c", "v"]), ["rep", "n_shingles", "root", "hub", "same", "extra"]).drop("p")
+    with_c = lambda v, c: F.shiftleft(v, 6).bitwiseOR(c)  # noqa: E731  COORDINATES is 64
+    values = info.select("rep", F.transform("sig", with_c).alias("values"))  # the lowest 26 bits: never too few in common
+    keyed = many.withColumn("keys", F.transform("e", lambda x: with_c(x.v.cast("long"), x.c.cast("long")))).drop("e").join(values, "rep")
+    sized = cut(keyed.withColumn("key", F.explode("keys")))
+    pairs = sized.alias("x").join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & _met("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    more = cut(_compared(cut(pairs), texts, rest=False).filter("linked").select("a", "b"))
     roots = components(linked.unionByName(more)) if not more.isEmpty() else roots
 
     same_id = live.groupBy("doc_id", "d1", "d2", "n_shingles").agg(F.lit(1).alias("one"))
