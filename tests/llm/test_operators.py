@@ -66,10 +66,11 @@ def _shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_near_duplicates(spark, odd):
-    r = random.Random(8)
-    family = [" ".join(f"w{k}" if r.random() > rate else f"x{r.random()}" for k in range(300)) for rate in [0, *[0.02] * 12, *[0.035] * 12]]
-    docs = odd.select("doc_id", "text", "h").unionByName(spark.createDataFrame([(100 + i, t, 0) for i, t in enumerate(family)], "doc_id long, text string, h long"))
+def _family(r, base, rates):
+    return [" ".join(w if r.random() > rate else f"x{r.random()}" for w in base.split()) for rate in rates]
+
+
+def _same_as_all_pairs(docs):
     sets = {x.doc_id: _shingles(x.text or "") for x in docs.collect()}
     root = {i: i for i in sets}
     for _ in sets:
@@ -83,6 +84,23 @@ def test_near_duplicates(spark, odd):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got.values())
 
 
+def _numbered(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, h long")
+
+
+def test_near_duplicates(spark, odd):
+    family = _family(random.Random(8), " ".join(f"w{k}" for k in range(300)), [0, *[0.02] * 12, *[0.035] * 12])
+    _same_as_all_pairs(odd.select("doc_id", "text", "h").unionByName(_numbered(spark, family, 100)))
+
+
+def test_near_duplicates_that_share_what_their_hub_lacks(spark):
+    """Copies under the threshold with their base, and pairs of them that are near each other through edits of their own."""
+    r, base = random.Random(9), " ".join(f"w{k}" for k in range(300))
+    apart = _family(r, base, [0.045] * 10)
+    twins = [t for far in _family(r, base, [0.045] * 5) for t in _family(r, far, [0.015] * 2)]
+    _same_as_all_pairs(_numbered(spark, [*apart, *twins, base]))
+
+
 def _repeats(texts):
     count = collections.Counter(b[k : k + 200] for b in texts.values() for k in range(len(b) - 199))
     for i, b in texts.items():
