@@ -229,6 +229,13 @@ def test_pages_against_their_articles(spark):
     assert sum(got[i] != want[i] for i in want) <= 1
 
 
+@pytest.mark.parametrize("size", [10, 1999, 2000, 2001, 9000])
+def test_capital_rate_is_of_letters_at_every_length(size):
+    text = ("woRD mIxEd Éa ǅ Ⅻ 𝐀b " * size)[:size]
+    got = dict(zip(toxicity.FEATURES, toxicity.features_of(text, toxicity.SEEDS), strict=True))
+    assert got["capital_rate"] == sum(map(str.isupper, text)) / size
+
+
 @pytest.mark.parametrize(("operator", "label", "least"), [(toxicity.toxicity, "toxic", 0.95), (quality.quality, "quality", 0.9)])
 def test_classifiers_on_held_out_labels(spark, operator, label, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import bisect
 import math
+import sys
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,12 +29,19 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur youre you're
 STRIP = ".,;:!?\"'()[]{}<>«»“”‘’…*#%&$|-_~`/\\"
 #: Signs that stand for letters in terms written otherwise.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "*": None, ".": None, "-": None, "_": None, "+": "t"})
+#: Of each code point, whether it is upper-case.
+UPPER = np.fromiter(map(str.isupper, map(chr, range(sys.maxunicode + 1))), bool)
 FEATURES = (
     "lexicon_density", "lexicon_log", "lexicon_kinds", "seed_density", "window_share", "second_density", "near_second", "capital_rate", "capital_words",
     "exclaim_rate", "question_rate", "mark_rate", "digit_rate", "obfuscated_density", "mixed_words", "repeat_rate", "log_words",
 )
 
 
+def _capitals(text: str) -> int:
+    """How many code points of the whole text are upper-case."""
+    return int(np.count_nonzero(UPPER[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]))
+
+
 def features_of(text: str, lexicon: frozenset) -> list[float]:
     """The feature vector of one whole text; all zeros for a text without words."""
     raw = text.split()
@@ -68,7 +77,7 @@ def features_of(text: str, lexicon: frozenset) -> list[float]:
     marks = sum(map(text.count, "*#%&$|@^~"))
     return [
         100 * len(hits) / n, math.log1p(len(hits)), float(len(kinds)), 100 * seeds / n, float(within), 100 * len(seconds) / n, near,
-        sum(map(str.isupper, text)) / size if size < 2000 else sum(w[:1].isupper() for w in raw) / n, sum(map(str.isupper, raw)) / n,
+        _capitals(text) / size, sum(map(str.isupper, raw)) / n,
         100 * text.count("!") / size, 100 * text.count("?") / size, 100 * marks / size, sum(map(text.count, "0123456789")) / size,
         100 * hidden / n, mixed / n, 1 - len(set(raw)) / n, math.log1p(n),
     ]
