@@ -236,6 +236,17 @@ def test_capital_rate_is_of_letters_at_every_length(size):
     assert got["capital_rate"] == sum(map(str.isupper, text)) / size
 
 
+def test_calibration_keeps_the_top_of_its_curve(spark, monkeypatch):
+    class Curve:
+        boundaries = predictions = [k / 1000 for k in range(1001)]
+        __init__, fit = (lambda self, **_: None), (lambda self, _: self)
+
+    monkeypatch.setattr(toxicity, "IsotonicRegression", Curve)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.steps[-1] == (1.0, 1.0) and model.score(docs).agg(F.max("score")).first()[0] > 0.5
+
+
 @pytest.mark.parametrize(("operator", "label", "least"), [(toxicity.toxicity, "toxic", 0.95), (quality.quality, "quality", 0.9)])
 def test_classifiers_on_held_out_labels(spark, operator, label, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))

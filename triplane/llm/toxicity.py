@@ -112,12 +112,14 @@ class ToxicityModel:
             raw = self.trees.setFeaturesCol("_v").setPredictionCol("_p").setProbabilityCol("_q").setRawPredictionCol("_r").transform(rows)
             p = vector_to_array("_q")[1]
             # Isotonic steps, joined by lines; a hundredth of the trees' own probability keeps the order within a step.
-            out, (xs, ys) = raw.withColumn("_s", p), zip(*self.steps, strict=True)
-            curve = F.lit(ys[-1])
-            for (x0, y0), (x1, y1) in reversed(list(zip(self.steps, self.steps[1:]))):
-                curve = F.when(F.col("_s") < x1, F.lit(y0) + (F.col("_s") - x0) * ((y1 - y0) / (x1 - x0) if x1 > x0 else 0.0)).otherwise(curve)
-            curve = F.when(F.col("_s") <= xs[0], F.lit(ys[0])).otherwise(curve)
-            out = out.withColumn("score", 0.99 * curve + 0.01 * F.col("_s")).drop("_x", "_v", "_p", "_q", "_r", "_s")
+            xs, ys = zip(*self.steps, strict=True)
+
+            @F.pandas_udf("double")
+            def curve(s: pd.Series) -> pd.Series:
+                return pd.Series(np.interp(s, xs, ys))
+
+            out = raw.withColumn("_s", p)
+            out = out.withColumn("score", 0.99 * curve("_s") + 0.01 * F.col("_s")).drop("_x", "_v", "_p", "_q", "_r", "_s")
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     held = trees.transform(rows if whole else rows.filter("cal")).select("toxic", vector_to_array("_q")[1].alias("s"))
     iso = IsotonicRegression(labelCol="toxic", featuresCol="s").fit(held)
     xs, ys = list(iso.boundaries), list(iso.predictions)
-    keep = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or ys[i] != ys[i - 1] or ys[i] != ys[i + 1]][:400]
+    keep = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or ys[i] != ys[i - 1] or ys[i] != ys[i + 1]]
     return ToxicityModel(lexicon, trees, [(float(xs[i]), float(ys[i])) for i in keep], base)
 
 
