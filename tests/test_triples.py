@@ -88,6 +88,38 @@ def test_batch_scans(spark, ten):
     assert rows("HIGHEST")[:3] == [(1, 1, 9), (1, 2, 8), (1, 3, 7)] and not [r for r in rows("LOWEST") if r[0] == 4]
 
 
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_batch_of_mixed_ops_and_prefixes(spark, kind):
+    names = ["", "a", "a1", "a1x", "a2", "az", "aé", "a\U0010ffff", "a\U0010ffffz", "b", "é", "éz"]
+    rows = spark.createDataFrame([(s, p, float(i), i) for i, (s, p) in enumerate((s, p) for s in (1, 2, 4) for p in names)], "s long, p string, o double, seq long")
+    ops = [
+        *[(op, s, p, n) for op in ("EQ", "NEXT", "PREV", "FIRST", "LAST", "LOWEST", "HIGHEST") for s, p, n in ((2, "a1", 3), (3, "x", 2), (9, "a", 2))], *[(op, 2, p, 50) for op in ("LOWEST", "HIGHEST") for p in ("a", "a1", "é", "a\U0010ffff", "q", None)],
+        ("INVALID", 7, "q", 2), (None, 7, "q", 2), ("EQ", 1, "a2", 0), ("NEXT", 1, "a", 0), ("FIRST", 1, "", 1000), ("PREV", 4, "b", 10**12),
+    ]
+    asked = spark.createDataFrame([(i, *x) for i, x in enumerate(ops)], "rid long, op string, s long, p string, n long")
+    if kind == "binary":
+        rows, asked = (x.withColumn("p", F.col("p").cast("binary")) for x in (rows, asked))
+    got = [[] for _ in ops]
+    for r in sorted(reads.bgetop(rows, asked).collect(), key=lambda r: (r.rid, r.rn)):
+        p = r.p.decode() if kind == "binary" else r.p
+        got[r.rid].append((r.s, p, r.o, r.status))
+        assert r.rn == len(got[r.rid])
+    keys = sorted(((r.s, r.p if kind == "string" else r.p.decode(), r.o) for r in rows.collect()), key=lambda k: (k[0], k[1].encode()))
+    for (op, s, p, n), found in zip(ops, got, strict=True):
+        at = [k for k in keys if (k[0], k[1].encode()) >= (s, (p or "").encode())]
+        back = [k for k in reversed(keys) if at and k[:2] <= at[0][:2]] if op == "PREV" else []
+        inside = [k for k in keys if k[0] == s and k[1].startswith(p or "")]
+        want = {"EQ": at[:1], "NEXT": at[:n], "PREV": back[:n], "FIRST": keys[:n], "LAST": keys[::-1][:n], "LOWEST": inside[:n], "HIGHEST": inside[::-1][:n]}.get(op)
+        assert found == ([(*k, "SUCCESS") for k in want] if want is not None else [(s, p, None, "ERROR")]), (op, s, p, n)
+
+
+def test_batch_of_one_op_takes_every_op(ten, spark):
+    asked = spark.createDataFrame([(1, 0, 2.0, 3)], "rid long, s long, p double, n long")
+    rows = lambda op: [(r.p, r.o, r.status) for r in reads.bgetop(ten, asked, op).orderBy("rn").collect()]
+    assert [r[0] for r in rows("FIRST")] == [0, 1, 2] and [r[0] for r in rows("LAST")] == [9, 8, 7] and [r[0] for r in rows("EQ")] == [2]
+    assert rows("INVALID") == [(2.0, None, "ERROR")]
+
+
 def test_permutations_and_upsert(spark):
     rows = spark.createDataFrame([("a", "p", "x", 1), ("b", "p", "x", 2)], "s string, p string, o string, seq long")
     for mask in range(64):

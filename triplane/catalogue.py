@@ -177,7 +177,7 @@ _NUMBERED = "(SELECT event_type AS s, event_id AS p, value AS o, row_number() OV
 
 
 def _bgetop(op, sql):
-    query(f"bgetop_{op.lower()}", sql)(lambda spark, sf_dir: reads.bgetop(value_triples(spark, sf_dir), _asked_events(spark, sf_dir), op))
+    query(f"bgetop_{op.lower()}", sql)(lambda spark, sf_dir: reads.bgetop(value_triples(spark, sf_dir), _asked_events(spark, sf_dir), op).drop("status"))
 
 
 _START = f"(SELECT rid, n, min(k) AS k0 FROM {_R} JOIN {_NUMBERED} ON (s > rs OR (s = rs AND p >= rp)) GROUP BY rid, n) t"

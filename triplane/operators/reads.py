@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 from pyspark.sql.window import Window
 
 from triplane.sources.tables import cut
 
 from .triples import ERROR, SUCCESS
 
+OPS = ("EQ", "NEXT", "PREV", "FIRST", "LAST", "LOWEST", "HIGHEST")
+
 
 def get(triples: DataFrame, s, p) -> DataFrame:
     """The triple of one key, or a row of status ERROR with a null object."""
@@ -90,33 +93,54 @@ def numbered(rows: DataFrame, keys: list[str], counted: str) -> DataFrame:
     return placed.withColumn("_w", within).join(F.broadcast(starts), "_part").withColumn("rank", F.col("_w") + F.col("_start")).drop("_part", "_w", "_start")
 
 
-def bgetop(triples: DataFrame, requests: DataFrame, op: str) -> DataFrame:
-    """For each request (rid, s, p, n): rn, s, p, o of up to n triples by NEXT, PREV, LOWEST or HIGHEST.
+def _successor(prefix: Column) -> Column:
+    """The least binary key after all that start with ``prefix``; null where there is none."""
+    kept = F.unhex(F.regexp_replace(F.hex(prefix), "(FF)+$", ""))
+    last = F.conv(F.hex(F.substring(kept, -1, 1)), 16, 10).cast("long") + 1
+    return F.when(F.length(kept) > 0, F.concat(kept.substr(F.lit(1), F.length(kept) - 1), F.unhex(F.lpad(F.hex(last), 2, "0"))))
+
+
+def bgetop(triples: DataFrame, requests: DataFrame, op: str | None = None) -> DataFrame:
+    """For each request (rid, s, p, n, and its op where none is given for all): rn, s, p, o, status of what ``getop`` finds.
 
-    Keys and requests are numbered in one order; each request then takes the keys of its ranks by an equal join.
-    LOWEST and HIGHEST stay within the request's subject and take their ends by rank too.
+    Places of requests are numbered with the keys in one order, equal places once; each request then takes the keys of its
+    ranks by an equal join. LOWEST and HIGHEST stay within the request's subject and, where predicates are strings or
+    bytes, within those that start with its p (null: all); typed predicates of other kinds have no prefix and p is not
+    looked at. Any other op: a row of status ERROR that echoes s and p. An empty scan has no rows.
     """
-    if op not in ("NEXT", "PREV", "LOWEST", "HIGHEST"):
-        raise ValueError(op)
-    keys = triples.select("s", "p", "o", F.lit(1).alias("is_key"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("long").alias("n"))
-    low = triples.schema["p"].dataType
+    kinds = {c: triples.schema[c].dataType for c in ("s", "p", "o")}
+    prefixed = isinstance(kinds["p"], (StringType, BinaryType))
+    sought = F.col("p").cast("binary") if prefixed else F.col("p").cast(kinds["p"])
+    inside = sought if prefixed else F.lit(None).cast(kinds["p"])
     ask = requests.select(
-        "s", (F.col("p") if op in ("NEXT", "PREV") else F.lit(None).cast(low)).alias("p"), F.lit(None).cast(triples.schema["o"].dataType).alias("o"),
-        F.lit(2 if op == "HIGHEST" else 0).alias("is_key"), F.col("rid").cast("long").alias("rid"), F.col("n").cast("long").alias("n"),
+        F.col("rid").cast("long").alias("rid"), F.col("s").alias("rs"), F.col("p").alias("rp"),
+        F.coalesce(F.col("op") if op is None else F.lit(op), F.lit("")).alias("op"), F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("n"), sought.alias("sought"), inside.alias("inside"),
     )
-    # Requests come before equal keys; those of HIGHEST after all keys of their subject.
-    rows = keys.unionByName(ask).withColumn("late", (F.col("is_key") == 2).cast("int")).withColumn("c", (F.col("is_key") == 1).cast("int"))
-    ranked = cut(numbered(rows, ["s", "late", "p", "is_key"], "c"))
-    keyed = ranked.filter("is_key = 1").select("rank", "s", "p", "o")
-    asked = ranked.filter("is_key <> 1").select("rid", "n", F.col("s").alias("rs"), (F.col("rank") + (0 if op == "HIGHEST" else 1)).alias("start"))
-    step = 1 if op in ("NEXT", "LOWEST") else -1
-    if op == "PREV":  # backwards from the first key at or after; none where there is no such key
-        most = keyed.agg(F.max("rank").alias("most"))
-        asked = asked.join(F.broadcast(most), F.col("start") <= F.col("most")).drop("most")
-    wanted = asked.filter("n > 0").select("rid", "rs", F.posexplode(F.sequence(F.col("start"), F.col("start") + step * (F.col("n") - 1))).alias("i", "rank"))
-    found = wanted.join(keyed, "rank")
-    found = found.filter(F.col("rs") == F.col("s")) if op in ("LOWEST", "HIGHEST") else found
-    return found.select("rid", (F.col("i") + 1).alias("rn"), "s", "p", "o")
+    end = _successor(F.col("inside")) if prefixed else F.col("inside")
+    ask = ask.withColumn("at", F.when(F.col("op") == "HIGHEST", end).when(F.col("op") == "LOWEST", F.col("inside")).otherwise(F.col("sought"))).drop("sought")
+    # HIGHEST starts from the end of its prefix: after all keys of the subject, where nothing comes after the prefix.
+    ask = ask.withColumn("late", ((F.col("op") == "HIGHEST") & F.col("at").isNull()).cast("int")).withColumn("n", F.when(F.col("op") == "EQ", 1).otherwise(F.col("n")))
+
+    keys = triples.select("s", sought.alias("at"), F.lit(0).alias("late"), F.lit(1).alias("is_key"), "p", "o")
+    places = ask.filter(F.col("op").isin("EQ", "NEXT", "PREV", "LOWEST", "HIGHEST")).select(F.col("rs").alias("s"), "at", "late", F.lit(0).alias("is_key")).distinct()
+    # Places come before equal keys.
+    ranked = cut(numbered(keys.unionByName(places, allowMissingColumns=True), ["s", "late", "at", "is_key"], "is_key"))
+    keyed = ranked.filter("is_key = 1").select("rank", "s", "p", "o", F.col("at").alias("key"))
+    placed = ranked.filter("is_key = 0").select(F.col("s").alias("_s"), F.col("at").alias("_at"), F.col("late").alias("_late"), F.col("rank").alias("before"))
+    total = keyed.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("total"))  # one row
+
+    same = ask["rs"].eqNullSafe(placed["_s"]) & ask["at"].eqNullSafe(placed["_at"]) & (ask["late"] == placed["_late"])
+    start = F.when(F.col("op") == "FIRST", 1).when(F.col("op") == "LAST", F.col("total")).when(F.col("op") == "HIGHEST", F.col("before")).otherwise(F.col("before") + 1)
+    asked = ask.filter(F.col("op").isin(*OPS)).join(placed, same, "left").crossJoin(F.broadcast(total)).withColumn("start", start)
+    down = F.col("op").isin("PREV", "HIGHEST", "LAST")
+    most = F.when(F.col("start") > F.col("total"), 0).when(down, F.least("n", "start")).otherwise(F.least("n", F.col("total") - F.col("start") + 1))
+    asked = asked.withColumn("most", most).filter("most > 0").select("rid", "rs", "op", "inside", "start", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("i"))
+    found = asked.withColumn("rank", F.when(down, F.col("start") - F.col("i")).otherwise(F.col("start") + F.col("i"))).join(keyed, "rank")
+    within = (F.col("rs") == F.col("s")) & (F.coalesce(F.startswith("key", "inside"), F.col("inside").isNull()) if prefixed else F.lit(True))
+    found = found.filter(~F.col("op").isin("LOWEST", "HIGHEST") | within)
+    found = found.select("rid", (F.col("i") + 1).cast("int").alias("rn"), "s", "p", "o", F.lit(SUCCESS).alias("status"))
+    wrong = ask.filter(~F.col("op").isin(*OPS))
+    return found.unionByName(wrong.select("rid", F.lit(1).alias("rn"), F.col("rs").cast(kinds["s"]).alias("s"), F.col("rp").cast(kinds["p"]).alias("p"), F.lit(None).cast(kinds["o"]).alias("o"), F.lit(ERROR).alias("status")))
 
 
 def prefix_range(key: Column, prefix: bytes) -> Column:
