@@ -1,5 +1,7 @@
 """Golden values, the ten-triple scans, histograms, the store and the commands."""
 
+import bisect
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +195,29 @@ def test_catalogue_against_sql(spark, name):
     want = con.execute(catalogue.oracle_sql()[name]).df()[list(got.columns)]
     order = list(got.columns)
     assert got.sort_values(order).astype(object).values.tolist() == want.sort_values(order).astype(object).values.tolist()
+
+
+@pytest.mark.parametrize("op", ["next", "prev", "lowest", "highest"])
+def test_every_event_asks(spark, op):
+    events = spark.read.parquet(f"{SF}/events.parquet").collect()
+    keys = sorted((e.event_type, e.event_id, e.value) for e in events)
+    want = []
+    for e in events:
+        at, n = bisect.bisect_left(keys, (e.event_type, e.event_id + 1)), 1 + e.event_id % 5
+        inside = [k for k in keys if k[0] == e.event_type] if op in ("lowest", "highest") else []
+        back = keys[at::-1] if at < len(keys) else []
+        found = {"next": keys[at:], "prev": back, "lowest": inside, "highest": inside[::-1]}[op][:n]
+        want += [(e.event_id, i + 1, *k) for i, k in enumerate(found)]
+    assert sorted(map(tuple, catalogue.queries()[f"bgetop_{op}_all"](spark, SF).collect())) == sorted(want)
+
+
+def test_every_order_is_asked_for(spark):
+    orders = {r.o_orderkey: r.o_totalprice for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    returned = {r.l_orderkey for r in spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_returnflag = 'R'").collect()}
+    rows = lambda name: sorted(tuple(r.asDict().get(c) for c in ("s", "o", "status")) for r in catalogue.queries()[name](spark, SF).collect())
+    pairs = lambda keys, miss="ERROR": sorted([*((k, "SUCCESS") for k in keys), *((-k - 1, miss) for k in keys)])
+    for name in ("bget_hits_and_misses_all", "bget_typed_mismatch_all"):
+        assert rows(name) == [(k, orders.get(k), x) for k, x in pairs(orders)]
+    assert 0 < len(returned) < len(orders) and rows("bdelete_returned") == [(k, orders[k], None) for k in sorted(set(orders) - returned)]
+    assert rows("bdelete_status_returned") == [(k, None, x) for k, x in pairs(returned)]
+    assert rows("bdelete_status_lsm_returned") == [(k, None, x) for k, x in pairs(returned, "SUCCESS")]

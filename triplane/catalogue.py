@@ -133,6 +133,53 @@ def delete_keeps_permutations(spark, sf_dir):
     return triples.delete(rows, gone, ("perm", "k1", "k2")).select("perm", "k1", "k2", "v", "seq")
 
 
+# The same with every order asked for, and as many keys that are not there; deleted are the orders of returned lines.
+ALL_ASKED = "(SELECT o_orderkey AS s FROM orders UNION ALL SELECT -o_orderkey - 1 FROM orders)"
+RETURNED = "(SELECT s FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), LATERAL (SELECT k AS s UNION ALL SELECT -k - 1))"
+
+
+def all_orders_asked(spark, sf_dir):
+    """Every order's key, and as many that are not there."""
+    keys = order_triples(spark, sf_dir)
+    return keys.select("s", "p").unionByName(keys.select((-F.col("s") - 1).alias("s"), "p"))
+
+
+def returned_orders(spark, sf_dir):
+    """The keys of all orders with a returned line, and as many that are not there."""
+    keys = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("s")).distinct()
+    return keys.select(F.explode(F.array("s", -F.col("s") - 1)).alias("s"), F.lit("totalprice").alias("p"))
+
+
+@query("bget_hits_and_misses_all", f"SELECT r.s, 'totalprice' AS p, o_totalprice AS o, CASE WHEN o_orderkey IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status FROM {ALL_ASKED} r LEFT JOIN orders ON o_orderkey = r.s")
+def bget_hits_and_misses_all(spark, sf_dir):
+    return reads.bget(order_triples(spark, sf_dir), all_orders_asked(spark, sf_dir))
+
+
+@query(
+    "bget_typed_mismatch_all",
+    f"""SELECT r.s, 'totalprice' AS p, CASE WHEN r.s % 2 = 0 THEN 'DOUBLE' ELSE 'BYTE' END AS wanted, o_totalprice AS o, CASE WHEN o_orderkey IS NOT NULL THEN 'DOUBLE' END AS o_type,
+        CASE WHEN o_orderkey IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status, coalesce(o_orderkey IS NOT NULL AND r.s % 2 <> 0, false) AS type_mismatch FROM {ALL_ASKED} r LEFT JOIN orders ON o_orderkey = r.s""",
+)
+def bget_typed_mismatch_all(spark, sf_dir):
+    asked = all_orders_asked(spark, sf_dir).withColumn("wanted", F.when(F.col("s") % 2 == 0, "DOUBLE").otherwise("BYTE"))
+    return reads.bget(order_triples(spark, sf_dir).withColumn("o_type", F.lit("DOUBLE")), asked, "wanted")
+
+
+@query("bdelete_returned", "SELECT o_orderkey AS s, 'totalprice' AS p, o_totalprice AS o, o_orderkey AS seq FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def bdelete_returned(spark, sf_dir):
+    return triples.delete(order_triples(spark, sf_dir), returned_orders(spark, sf_dir))
+
+
+@query("bdelete_status_returned", f"SELECT r.s, 'totalprice' AS p, CASE WHEN o_orderkey IS NULL THEN 'ERROR' ELSE 'SUCCESS' END AS status FROM {RETURNED} r LEFT JOIN orders ON o_orderkey = r.s")
+def bdelete_status_returned(spark, sf_dir):
+    return triples.delete_status(order_triples(spark, sf_dir), returned_orders(spark, sf_dir))
+
+
+@query("bdelete_status_lsm_returned", f"SELECT r.s, 'totalprice' AS p, 'SUCCESS' AS status FROM {RETURNED} r")
+def bdelete_status_lsm_returned(spark, sf_dir):
+    return triples.delete_status(order_triples(spark, sf_dir), returned_orders(spark, sf_dir), always=True)
+
+
 # Ordered reads.
 def _getop(name, sql, op, s=None, p=None, n=1, rows=order_triples):
     query(name, sql)(lambda spark, sf_dir: reads.getop(rows(spark, sf_dir), op, s, p, n))
@@ -187,6 +234,27 @@ _bgetop("LOWEST", f"SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY p)
 _bgetop("HIGHEST", f"SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY p DESC) AS rn, s, p, o FROM {_R} JOIN {_NUMBERED} ON s = rs QUALIFY rn <= any_value(n) OVER (PARTITION BY rid)")
 
 
+# The same with a request for every event; in SQL, too, requests and keys are counted in one order.
+_R_ALL = "(SELECT event_id AS rid, event_type AS rs, event_id + 1 AS rp, 1 + event_id % 5 AS n FROM events)"
+_PLACED = f"""(SELECT rid, n, 1 + k AS k0 FROM (SELECT *, CAST(coalesce(sum(is_key) OVER (ORDER BY s, p, is_key ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS k FROM
+    (SELECT event_type AS s, event_id AS p, 1 AS is_key, NULL AS rid, NULL AS n FROM events UNION ALL SELECT rs, rp, 0, rid, n FROM {_R_ALL})) WHERE is_key = 0)"""
+_ENDS = "(SELECT event_type AS s, event_id AS p, value AS o, row_number() OVER (PARTITION BY event_type ORDER BY event_id {}) AS rn FROM events QUALIFY rn <= 5) e"
+
+
+def _bgetop_all(op, sql):
+    def run(spark, sf_dir):
+        asked = value_triples(spark, sf_dir).select(F.col("p").alias("rid"), "s", (F.col("p") + 1).alias("p"), (1 + F.col("p") % 5).alias("n"))
+        return reads.bgetop(value_triples(spark, sf_dir), asked, op).drop("status")
+
+    query(f"bgetop_{op.lower()}_all", sql)(run)
+
+
+_bgetop_all("NEXT", f"SELECT rid, i - k0 + 1 AS rn, s, p, o FROM (SELECT rid, k0, unnest(range(k0, k0 + n)) AS i FROM {_PLACED}) JOIN {_NUMBERED} ON k = i")
+_bgetop_all("PREV", f"SELECT rid, k0 - i + 1 AS rn, s, p, o FROM (SELECT rid, k0, unnest(range(k0 - n + 1, k0 + 1)) AS i FROM {_PLACED} WHERE k0 <= (SELECT count(*) FROM events)) JOIN {_NUMBERED} ON k = i")
+_bgetop_all("LOWEST", f"SELECT rid, rn, s, p, o FROM {_R_ALL} r JOIN {_ENDS.format('')} ON s = rs AND rn <= n")
+_bgetop_all("HIGHEST", f"SELECT rid, rn, s, p, o FROM {_R_ALL} r JOIN {_ENDS.format('DESC')} ON s = rs AND rn <= n")
+
+
 @query("getop_per_datastore_first", "SELECT s, p, o, seq, ds, rn FROM (SELECT *, row_number() OVER (PARTITION BY ds ORDER BY s) AS rn FROM (SELECT o_orderkey AS s, 'totalprice' AS p, o_totalprice AS o, o_orderkey AS seq, CAST(o_custkey % 5 AS INTEGER) AS ds FROM orders)) WHERE rn <= 4")
 def getop_per_datastore_first(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s"), F.lit("totalprice").alias("p"), F.col("o_totalprice").alias("o"), F.col("o_orderkey").alias("seq"), P.datastore(lambda s, p: s, F.col("o_custkey"), F.lit("totalprice"), 5).alias("ds"))
