@@ -247,19 +247,6 @@ def test_calibration_keeps_the_top_of_its_curve(spark, monkeypatch):
     assert model.steps[-1] == (1.0, 1.0) and model.score(docs).agg(F.max("score")).first()[0] > 0.5
 
 
-def test_quality_trains_on_whole_texts(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(quality.ByteCnn, "train", lambda self, docs, y: seen.extend(docs) or self)
-    docs = spark.createDataFrame([(i, f"{i:03} é " * 1500) for i in range(40)], "doc_id long, text string")
-    quality.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
-    whole = {quality.chunks_of(f"{i:03} é ".encode() * 1500).tobytes() for i in range(40)}
-    assert len(seen) > 10 and all(c.tobytes() in whole for c in seen)
-    seen.clear()
-    monkeypatch.setattr(quality, "TRAIN_BYTES", 30_000, raising=False)
-    quality.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
-    assert len(seen) <= 3 and all(c.tobytes() in whole for c in seen)
-
-
 @pytest.mark.parametrize(("operator", "label", "least"), [(toxicity.toxicity, "toxic", 0.95), (quality.quality, "quality", 0.9)])
 def test_classifiers_on_held_out_labels(spark, operator, label, least):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
