@@ -101,6 +101,33 @@ def test_near_duplicates_that_share_what_their_hub_lacks(spark):
     _same_as_all_pairs(_numbered(spark, [*apart, *twins, base]))
 
 
+@pytest.mark.parametrize("rate", [0.06, 0.035])
+def test_near_duplicates_of_a_family_without_its_base(spark, rate):
+    r = random.Random(12)
+    _same_as_all_pairs(_numbered(spark, _family(r, " ".join(f"w{k}" for k in range(250)), [rate] * 45)))
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one doc_id are linked, and each of its texts with its own near copies."""
+    one, two = (" ".join(f"{c}{k}" for k in range(80)) for c in "ab")
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, "other words"), (5, "other words"), (None, one), (1, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    r = random.Random(3)
+    text = "".join(r.choice(["ab", "C", " ", "\n", "é", "0123456789" * 9]) for _ in range(3000)).encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", text.lower()) if w]
+    whole = near_dedup.word_hashes(text)
+    assert len(set(zip(words, whole.tolist()))) == len(set(words)) == len(set(whole.tolist()))
+    short = near_dedup.word_hashes(b" ".join(w for w in words if len(w) < 64))
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    cut_up = near_dedup.word_hashes(text)
+    assert len(cut_up) == len(words) and len(set(cut_up.tolist())) == len(set(words))
+    assert near_dedup.word_hashes(b" ".join(w for w in words if len(w) < 64)).tolist() == short.tolist()
+
+
 def _repeats(texts):
     count = collections.Counter(b[k : k + 200] for b in texts.values() for k in range(len(b) - 199))
     for i, b in texts.items():

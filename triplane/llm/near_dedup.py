@@ -7,14 +7,18 @@ rest only a prefix, the rarest postings, is merged into candidates: two document
 it. Candidates whose signatures agree often enough are confirmed on their full sets.
 
 Documents of equal sets are one class from the start. Each class is first compared with one hub, the class of most and
-longest lists among those it meets, so that a group of copies costs as many checks as it has members. Then the classes
-that meet in a list and that those links have not joined are checked, but for pairs that their common hub rules out:
-two sets share at most what each shares with the hub, and those shingles beside it that another of its members has too.
-Nothing else is left out.
+longest lists among those it meets, so that a group of copies costs as many checks as it has members; classes that stay
+alone choose hubs among themselves again while that finds links. What then lies in one list with several components
+has to be held against each other. Of classes compared with the same hub the two differences from it are known, and
+sets are similar just where their differences share enough: that is a join on the rarest shingles of the differences,
+again by prefixes, and needs no pair for two members whose edits are their own. The few pairs of a list that have no
+hub in common are checked one by one. Nothing else is left out.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +29,14 @@ from .components import components
 
 WORDS, SIMILAR = 5, 75
 COORDINATES, MATCHES = 64, 32
+#: Coordinates in which a class and the hub of a list agree at least to be compared; rounds of hubs among classes that stay alone.
+NEAR_HUB, ROUNDS = 20, 4
+#: Bytes of a text that are hashed at once; longer words are hashed by themselves.
+BLOCK = 1 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_BLANKS = [bytes([c]) for c in np.flatnonzero(_SPACE)]
 _R = np.random.default_rng(17)
 _MUL, _ADD = (_R.integers(1, 1 << 63, COORDINATES // 2, np.uint64) | np.uint64(1)), _R.integers(1, 1 << 63, COORDINATES // 2, np.uint64)
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -40,8 +49,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z in lower case."""
-    b = np.frombuffer(data.translate(LOWER), np.uint8)
+    """64-bit hashes of the words of a text, A-Z in lower case; a long text is read in blocks that end between words."""
+    data = data.translate(LOWER)
+    if len(data) <= BLOCK:
+        return _block_hashes(data)
+    out, lo, n = [], 0, len(data)
+    while lo < n:
+        hi = min(n, lo + BLOCK)
+        if hi < n:
+            cut_at = max(data.rfind(c, lo, hi) for c in _BLANKS)
+            if cut_at < 0:  # a word longer than a block
+                hi = min((k for k in (data.find(c, hi) for c in _BLANKS) if k >= 0), default=n)
+                out.append(np.frombuffer(hashlib.blake2b(data[lo:hi], digest_size=8).digest(), np.uint64))
+                lo = hi
+                continue
+            hi = cut_at + 1
+        out.append(_block_hashes(data[lo:hi]))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _block_hashes(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[b]
     edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
@@ -63,7 +92,7 @@ _MIXED = _mix(np.arange(1, 257, dtype=np.uint64) * _P1)
 
 
 def _table(factor: int, n: int) -> np.ndarray:
-    """Powers 0..n-1 of a factor, modulo 2**64; kept, and doubled when a longer text comes."""
+    """Powers 0..n-1 of a factor, modulo 2**64; kept, and doubled up to BLOCK when a longer text comes."""
     have = _TABLES.get(factor)
     if have is None or have.size < n:
         have = np.ones(1, np.uint64) if have is None else have
@@ -122,7 +151,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set, null when empty), sig of each row of ``docs``."""
+    """doc_id, x (hash of the text), n_shingles, d1, d2 (digest of the set, null when empty), sig of each row of ``docs``."""
 
     def setup():
         def of(texts):
@@ -140,7 +169,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         return of
 
-    return per_text(docs, "text", ["doc_id"], setup, "n_shingles long, d1 long, d2 long, sig array<int>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("x"))
+    return per_text(rows, "text", ["doc_id", "x"], setup, "n_shingles long, d1 long, d2 long, sig array<int>")
 
 
 def _matches(a: str, b: str):
@@ -152,10 +182,11 @@ def _sized(a, b):
     return 100 * F.least(a, b) >= SIMILAR * F.greatest(a, b)
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, rest: bool) -> DataFrame:
-    """a, b, linked, same, rest of the pairs (a, b), on their full sets; ``texts``: rep, text. A hub's pairs are dealt by a salt.
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, near, far, delta of the pairs (a, b), on their full sets; ``texts``: rep, text. A hub's pairs are dealt by a salt.
 
-    linked: whether they are similar enough; same: the shingles they share; rest: those of b only, where ``rest`` asks for them.
+    delta: the shingles that just one of the two has; far: 100 for each that b lacks, SIMILAR for each that a lacks;
+    near: what the hub's size allows. The two are similar enough just where far <= near.
     """
     small_batches(pairs.sparkSession)
     # Each text is sent once to every part it is needed in: pairs are dealt by their hub and a salt of about 64 members.
@@ -168,7 +199,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, rest: bool) -> DataFrame:
         hubs: dict = {}
         waiting = None
         for batch in batches:
-            a, b, linked, same, beside = [], [], [], [], []
+            a, b, near, far, delta = [], [], [], [], []
             for part, rep, hub, text in zip(*(batch.column(c).to_pylist() for c in ("part", "rep", "hub", "text")), strict=True):
                 if part != waiting:
                     hubs, waiting = {}, part
@@ -177,16 +208,15 @@ def _compared(pairs: DataFrame, texts: DataFrame, rest: bool) -> DataFrame:
                     hubs[rep] = s
                 else:
                     h = hubs[hub]
-                    both = np.intersect1d(h, s, assume_unique=True).size
-                    a.append(hub), b.append(rep), same.append(both)
-                    linked.append(100 * both >= SIMILAR * (h.size + s.size - both))
-                    beside.append(np.setdiff1d(s, h, assume_unique=True).view(np.int64) if rest else None)
-            kinds = {"a": pa.int64(), "b": pa.int64(), "linked": pa.bool_(), "same": pa.int64(), "rest": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((a, b, linked, same, beside), kinds.values(), strict=True)], list(kinds))
+                    lacks, beside = np.setdiff1d(h, s, assume_unique=True), np.setdiff1d(s, h, assume_unique=True)
+                    a.append(hub), b.append(rep), near.append((100 - SIMILAR) * h.size), far.append(100 * lacks.size + SIMILAR * beside.size)
+                    delta.append(np.concatenate([lacks, beside]).view(np.int64))
+            kinds = {"a": pa.int64(), "b": pa.int64(), "near": pa.int64(), "far": pa.int64(), "delta": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((a, b, near, far, delta), kinds.values(), strict=True)], list(kinds))
 
     # Sorted so that a part's hub comes before its members: one hub's set is held at a time.
     dealt = rows.repartition("part").sortWithinPartitions("part", F.col("hub").asc_nulls_first())
-    return dealt.mapInArrow(similar, "a long, b long, linked boolean, same long, rest array<long>")
+    return dealt.mapInArrow(similar, "a long, b long, near long, far long, delta array<long>")
 
 
 def _listed(posts: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,79 +225,150 @@ def _listed(posts: DataFrame, keys: list[str]) -> DataFrame:
     return each.withColumn("e", F.slice("p", 1, F.size("p") - MATCHES + 1))
 
 
-def _met(x: str, y: str):
-    """Whether rows x and y, of one key, are a new pair: met here first, and possible by sizes, signatures and their hub."""
-    of = lambda c: (F.col(f"{x}.{c}"), F.col(f"{y}.{c}"))
-    (rx, ry), (nx, ny), (hx, hy) = of("rep"), of("n_shingles"), of("hub")
-    most = F.least(*of("same")) + F.least(*of("extra"))  # shingles in common, where the hub is one
-    apart = (hx == hy) & (100 * most < SIMILAR * (nx + ny - most))
-    known = F.coalesce(apart, F.lit(False)) | F.coalesce(hx == ry, F.lit(False)) | F.coalesce(hy == rx, F.lit(False))
-    first = F.array_min(F.array_intersect(*of("keys"))) == F.col(f"{x}.key")
-    return (rx < ry) & (F.col(f"{x}.root") != F.col(f"{y}.root")) & _sized(nx, ny) & ~known & first & (F.size(F.array_intersect(*of("values"))) >= MATCHES)
+def _agreeing(pairs: DataFrame, info: DataFrame, least: int) -> DataFrame:
+    """Of the pairs (a, b): those whose signatures agree in ``least`` coordinates. ``info``: rep, n_shingles, sig."""
+    side = lambda k: info.select(F.col("rep").alias(k), F.col("n_shingles").alias("n" + k), F.col("sig").alias("s" + k))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_matches("sa", "sb") >= least).select("a", "b", "na", "nb")
+
+
+def _to_hubs(prefix: DataFrame, info: DataFrame) -> DataFrame:
+    """a, b: each class of ``prefix`` (c, v, rep, weight) that may match a list's heaviest class, and of those hubs the one that most classes may match."""
+    hubs = prefix.groupBy("c", "v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("a")))["a"].alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "v", (-F.col("a")).alias("a"))
+    met = prefix.select("c", "v", F.col("rep").alias("b")).join(hubs, ["c", "v"]).filter("a <> b").select("a", "b").distinct()
+    may = cut(_agreeing(met, info, MATCHES).filter(_sized(F.col("na"), F.col("nb"))).select("a", "b"))
+    members = cut(may.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    best = may.join(members, "a").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a"))
+    return cut(best.select((-F.col("a")).alias("a"), "b"))
+
+
+def _family_links(tests: DataFrame, place: DataFrame) -> DataFrame:
+    """a, b: links across components between classes compared with the same hub. ``tests``: see _compared; ``place``: rep, root.
+
+    Sets x and y that differ from their hub by dx and dy are similar just where (100 + SIMILAR) * |dx & dy| is at least
+    far(x) + far(y) - near. So pairs meet only in a prefix, the rarest shingles, of differences, one of which is such a
+    share's. At least one of two components' classes is not linked with the hub: that one looks for the other.
+    """
+    rows = tests.join(place.select(F.col("rep").alias("b"), "root"), "b")
+    groups = rows.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.first("near").alias("m"))
+    groups = cut(groups.filter("n > 1 AND high > m").select("a", "low"))
+    rows = cut(rows.join(groups, "a"))
+    each = rows.select("a", "b", "root", F.explode("delta").alias("t"))
+    shared = each.groupBy("a", "t").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("a", "t", "n")
+    listed = each.join(shared, ["a", "t"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("p"))  # of one difference
+    away = F.col("far") > F.col("near")
+    share = lambda over: F.greatest(F.ceil(over / F.lit(100 + SIMILAR)), F.lit(1))
+    least = share(F.when(away, F.col("far") + F.col("low") - F.col("near")).otherwise(F.col("far") + 1)).cast("int")
+    kept = rows.drop("delta").join(listed, ["a", "b"]).withColumn("size", F.size("p")).withColumn("least", least).filter("size >= least")
+    posts = kept.withColumn("away", away).select("a", "b", "root", "near", "far", "away", "size", F.posexplode(F.slice("p", F.lit(1), F.col("size") - F.col("least") + 1)).alias("at", "x"))
+    posts = cut(posts.select("*", F.col("x.t").alias("t")).drop("x"))
+    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    (bx, by), (fx, fy), (rx, ry) = of("b"), of("far"), of("root")
+    least = share(fx + fy - F.col("x.near"))
+    within = (F.col("x.at") <= F.col("x.size") - least) & (F.col("y.at") <= F.col("y.size") - least)
+    met = (F.col("x.a") == F.col("y.a")) & (F.col("x.t") == F.col("y.t")) & (rx != ry) & (~F.col("y.away") | (bx < by)) & within
+    pairs = posts.filter("away").alias("x").join(posts.alias("y"), met).select("x.a", bx.alias("bx"), by.alias("by")).distinct()
+    side = lambda k: rows.select("a", "near", F.col("b").alias("b" + k), F.col("far").alias("f" + k), F.col("delta").alias("d" + k))
+    both = pairs.join(side("x"), ["a", "bx"]).join(side("y").drop("near"), ["a", "by"])
+    linked = both.filter((100 + SIMILAR) * F.size(F.array_intersect("dx", "dy")) >= F.col("fx") + F.col("fy") - F.col("near"))
+    return cut(linked.select(F.col("bx").alias("a"), F.col("by").alias("b")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``; component_id is the smallest doc_id linked.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows of one doc_id
-    are linked with each other; a null doc_id stays by itself, component_id null. Other columns are ignored; an empty
-    table gives an empty result.
+    that have shingles are linked with each other, whatever their texts; a null doc_id stays by itself, component_id
+    null. Other columns are ignored; an empty table gives an empty result.
     """
     made = cut(signatures(docs))
     live = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(live.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    # A class is named by a number of its own, since rows of one doc_id may be of several classes.
+    first_of = live.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "x")).alias("first"), F.first("sig").alias("sig"))
+    classes = cut(first_of.withColumn("rep", F.monotonically_increasing_id()))
     posts = classes.select("rep", "n_shingles", F.posexplode("sig").alias("c", "v"))
     lists = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = posts.join(lists, ["c", "v"])
     listed = cut(_listed(shared, ["rep", "n_shingles"]))
     prefix = listed.withColumn("weight", F.aggregate("e", F.lit(0).cast("long"), lambda t, x: t + x.n)).select("rep", "weight", F.explode("e").alias("x")).select("x.c", "x.v", "rep", "weight")
     info = classes.select("rep", "n_shingles", "sig")
-
-    # First round: each class and the hub (the class of a list whose prefix is the most common) that most classes may match.
-    hubs = prefix.groupBy("c", "v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("a")))["a"].alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "v", (-F.col("a")).alias("a"))
-    met = prefix.select("c", "v", F.col("rep").alias("b")).join(hubs, ["c", "v"]).filter("a <> b").select("a", "b").distinct()
-    may = cut(
-        met.join(info.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
-        .join(info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
-        .filter((_matches("sa", "sb") >= MATCHES) & _sized(F.col("na"), F.col("nb"))).select("a", "b")
-    )
-    members = cut(may.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
-    best = may.join(members, "a").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a"))
-    wanted = listed.select("rep").distinct()
-    texts = cut(docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rep").dropDuplicates(["rep"]))
-    first = cut(_compared(cut(best.select((-F.col("a")).alias("a"), "b")), texts, rest=True))
-    linked = first.filter("linked").select("a", "b")
+    wanted = listed.select("rep")
+    at = classes.join(wanted, "rep").select("rep", F.col("first.doc_id").alias("_id"), F.col("first.x").alias("_x"))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = cut(rows.join(at, ["_id", "_x"]).select("rep", "text").dropDuplicates(["rep"]))
+
+    # Rounds of hubs: all classes, then those that stay alone, as long as a twentieth of the checks finds a link.
+    tests = cut(_compared(_to_hubs(prefix, info), texts))
+    for _ in range(ROUNDS):
+        done = tests.select(F.col("a").alias("rep")).unionByName(tests.filter("far <= near").select(F.col("b").alias("rep"))).distinct()
+        again = _to_hubs(prefix.join(done, "rep", "left_anti"), info)
+        if again.isEmpty():
+            break
+        found = cut(_compared(again, texts))
+        n, hits = found.agg(F.count(F.lit(1)), F.count_if(F.col("far") <= F.col("near"))).first()
+        tests = tests.unionByName(found)
+        if 20 * hits < n:
+            break
+    linked = tests.filter("far <= near").select("a", "b")
+    # Rows of one doc_id are linked.
+    key = F.struct("d1", "d2", "n_shingles")
+    mixed = live.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
+    texts_of = cut(live.join(mixed, "doc_id").select("doc_id", "d1", "d2", "n_shingles").distinct().join(classes.select("d1", "d2", "n_shingles", F.col("rep").alias("b")), ["d1", "d2", "n_shingles"]).select("doc_id", "b"))
+    same_id = texts_of.join(texts_of.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b").filter("a <> b")
+    linked = linked.unionByName(same_id)
     roots = cut(components(linked))
 
-    # What members of a hub share beside it.
-    rest = first.select("a", "b", F.explode("rest").alias("r"))
-    twice = rest.groupBy("a", "r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "r")
-    extra = rest.join(twice, ["a", "r"]).groupBy("b").agg(F.count(F.lit(1)).alias("extra"))
-    family = first.select("b", "a", "same").join(extra, "b", "left").select(F.col("b").alias("rep"), F.col("a").alias("hub"), "same", F.coalesce("extra", F.lit(0)).alias("extra"))
-
-    # Second round: what one component has to itself can match no other one, as with postings that nobody shares. So
-    # only lists of several components count, each class needs MATCHES of them, and the rarest (by components) are merged.
-    place = cut(wanted.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root")).join(family, "rep", "left"))
+    # What one component has to itself can match no other one, as with postings that nobody shares. So only lists of
+    # several components count, each class needs MATCHES of them, and the rarest (by components) are merged.
+    place = cut(wanted.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root")))
     placed = cut(listed.select("rep", "n_shingles", F.explode("p").alias("x")).select("x.c", "x.v", "rep", "n_shingles").join(place, "rep"))
     open_lists = placed.select("c", "v", "root").distinct().groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    many = _listed(placed.join(open_lists, ["c", "v"]), ["rep", "n_shingles", "root", "hub", "same", "extra"]).drop("p")
+    many = cut(_listed(placed.join(open_lists, ["c", "v"]), ["rep", "n_shingles", "root"]).drop("p"))
     with_c = lambda v, c: F.shiftleft(v, 6).bitwiseOR(c)  # noqa: E731  COORDINATES is 64
+    keyed = many.withColumn("keys", F.transform("e", lambda x: with_c(x.v.cast("long"), x.c.cast("long")))).drop("e")
+    slots = keyed.select(F.explode("keys").alias("key"), "rep")
+
+    # The hub that most classes of a list know; the others are compared with it, but for those far from it.
+    knows = tests.select(F.col("b").alias("rep"), F.col("a").alias("hub")).unionByName(tests.select(F.col("a").alias("rep"), F.col("a").alias("hub")).distinct())
+    chief = slots.join(knows, "rep").groupBy("key", "hub").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    chief = cut(chief)
+    strangers = slots.join(chief, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    strangers = strangers.join(knows.select(F.col("hub").alias("a"), F.col("rep").alias("b")), ["a", "b"], "left_anti")
+    asked = cut(_agreeing(strangers, info, NEAR_HUB).select("a", "b"))
+    if not asked.isEmpty():
+        tests = tests.unionByName(cut(_compared(asked, texts)))
+    linked = linked.unionByName(_family_links(tests, many.select("rep", "root"))).unionByName(tests.filter("far <= near").select("a", "b"))
+
+    # Pairs of a list without a hub in common: one of them at least does not know the list's hub.
+    knows = tests.select(F.col("b").alias("rep"), F.col("a").alias("hub")).unionByName(tests.select(F.col("a").alias("rep"), F.col("a").alias("hub")).distinct())
+    hubs = knows.groupBy("rep").agg(F.collect_set("hub").alias("hubs"))  # as many as a class has postings at most
     values = info.select("rep", F.transform("sig", with_c).alias("values"))  # the lowest 26 bits: never too few in common
-    keyed = many.withColumn("keys", F.transform("e", lambda x: with_c(x.v.cast("long"), x.c.cast("long")))).drop("e").join(values, "rep")
-    sized = cut(keyed.withColumn("key", F.explode("keys")))
-    pairs = sized.alias("x").join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & _met("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    more = cut(_compared(cut(pairs), texts, rest=False).filter("linked").select("a", "b"))
-    roots = components(linked.unionByName(more)) if not more.isEmpty() else roots
-
-    same_id = live.groupBy("doc_id", "d1", "d2", "n_shingles").agg(F.lit(1).alias("one"))
-    found = same_id.join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).join(roots, F.col("rep") == F.col("node"), "left")
-    found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
-    out = made.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    full = keyed.join(values, "rep").join(hubs, "rep", "left").withColumn("hubs", F.coalesce("hubs", F.array().cast("array<long>")))
+    sized = full.withColumn("key", F.explode("keys")).join(chief, "key", "left").withColumn("out", ~F.coalesce(F.array_contains("hubs", F.col("hub")), F.lit(False)))
+    sized = cut(sized.drop("hub"))
+    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    once = (F.col("x.rep") != F.col("y.rep")) & (~F.col("y.out") | (F.col("x.rep") < F.col("y.rep"))) & (F.array_min(F.array_intersect(*of("keys"))) == F.col("x.key"))
+    may = once & (F.col("x.root") != F.col("y.root")) & _sized(*of("n_shingles")) & ~F.arrays_overlap(*of("hubs")) & (F.size(F.array_intersect(*of("values"))) >= MATCHES)
+    pairs = sized.filter("out").alias("x").join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & may)
+    pairs = cut(pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
+    if not pairs.isEmpty():
+        linked = linked.unionByName(_compared(pairs, texts).filter("far <= near").select("a", "b"))
+
+    roots = cut(components(linked))
+    least = classes.select("rep", F.col("first.doc_id").alias("least"))
+    named = roots.join(least, F.col("node") == F.col("rep")).select("node", "root", "least")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    found = classes.select("d1", "d2", "n_shingles", "rep", F.col("first.doc_id").alias("least")).join(named, F.col("rep") == F.col("node"), "left")
+    found = found.select("d1", "d2", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
+    out = made.select("doc_id", "n_shingles", "d1", "d2").join(found, ["d1", "d2", "n_shingles"], "left")
+    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row, the one of the smallest doc_id, of each group of near duplicates; the columns stay."""
+    """``docs`` with one row, the one of the smallest doc_id, of each group of near duplicates; the columns stay.
+
+    Rows without words stay, as do those of a null doc_id; of rows that share the smallest doc_id all stay. An empty
+    table gives an empty result.
+    """
     drop = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti")
