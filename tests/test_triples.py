@@ -1,18 +1,24 @@
 """Golden values, the ten-triple scans, histograms, the store and the commands."""
 
 import bisect
+import random
+import shutil
+import struct
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from triplane import catalogue
 from triplane.functions import encoding as E
 from triplane.functions import partitioning as P
+from triplane.functions import transforms
 from triplane.operators import histogram as H
 from triplane.operators import reads, triples
-from triplane.sources import commands, config
+from triplane.sources import commands, config, generate
 from triplane.sources.store import TripleStore
+from triplane.streaming.puts import put_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,6 +50,49 @@ def test_float_round_trip_and_order(spark):
     assert spark.range(1).select(E.decode_float(F.lit("::")), E.decode_int(F.lit("?1"))).first() == (None, None)
 
 
+#: Texts and what they stand for, of values between -1 and 1, and of any.
+SMALL = {"-0004+": -0.9995, "-000+": -0.999, "-9876+": -0.0123, "-999876+": -0.000123, "0": 0, "+000123-": 0.000123, "+0123-": 0.0123, "+9995-": 0.9995}
+LARGE = {"--68994+": -100.5, "+314-": 3.14, "0": 0}
+#: Texts that are no encodings.
+BAD = ["", "1", "-+", "+-", "0+", "+0", "?9876+", "?0123-", "-9876?", "+0123?", "?0123?", "-98x6+"]
+
+
+@pytest.mark.parametrize(("decode", "golden"), [(E.decode_small, SMALL), (E.decode_large, LARGE)])
+def test_decoding_of_decimals(spark, decode, golden):
+    rows = spark.createDataFrame([(k,) for k in [*golden, *BAD, None]], "e string").select("e", decode(F.col("e"), "-", "+").alias("v"), "e")
+    got = {r[0]: r[1] for r in rows.collect()}
+    assert {k: got[k] for k in golden} == pytest.approx(golden)
+    assert [got[k] for k in [*BAD, None]] == [None] * (len(BAD) + 1) if decode is E.decode_small else all(got[k] is None for k in BAD if k not in ("0+",))
+    strict = lambda e: spark.range(1).select(E.strict(decode, F.lit(e).cast("string"), "-", "+").alias("v")).first().v
+    assert strict(None) is None and strict(next(iter(golden))) == pytest.approx(golden[next(iter(golden))])
+    with pytest.raises(Exception, match="no such encoding"):
+        strict("?9876+")
+
+
+def test_large_decimals_round_trip_and_order(spark):
+    values = [-123456.75, -1000.25, -99.5, -1.25, -0.5, 0.0, 0.5, 7.0, 12.125, 100.5, 99999.875, 12345678901.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", E.encode_large(F.col("v"), 3).alias("e"))
+    assert [r.back for r in rows.select(E.decode_large(F.col("e")).alias("back")).collect()] == values
+
+
+def test_own_transforms_stand_before_built_in_ones(spark):
+    rows = spark.createDataFrame([(-5, 2.5, "ab"), (None, None, None)], "i long, d double, t string")
+    types, own = {"i": "INT64", "d": "DOUBLE", "t": "BYTE"}, {"INT64": (lambda c: c + 1, lambda c: c - 1)}
+    coded = transforms.encoded(rows, types, own)
+    assert coded.first().i == -4 and transforms.encoded(rows, types).first().i == "/4"
+    assert transforms.decoded(coded, types, own).collect() == rows.collect()
+    with pytest.raises(ValueError, match="NOTHING"):
+        transforms.encoded(rows, {"i": "NOTHING"})
+
+
+def test_generated_triples(spark):
+    assert generate.fixed(spark, 3, 7).collect()[2] == ("subject-7-2", "predicate-7-2", "object-7-2", 2)
+    a = generate.scattered(spark, 50, seed=3)
+    assert {(len(r.s), len(r.p), len(r.o)) for r in a.collect()} == {(8, 4, 24)} and a.select("s").distinct().count() == 50
+    assert a.collect() == generate.scattered(spark, 50, seed=3).collect() != generate.scattered(spark, 50, seed=4).collect()
+    assert all(4 <= len(r.s) <= 12 and r.s.isalpha() for r in generate.words(spark, 50).collect())
+
+
 def test_key_bytes(spark):
     key = E.encode_key(F.lit("subject"), F.lit("predicate"))
     r = spark.range(1).select(F.hex(key).alias("k"), E.decode_key(key).alias("d")).first()
@@ -56,9 +105,67 @@ def test_hashes(spark):
     assert (r.UTHASH_SAX, r.UTHASH_FNV, r.UTHASH_BER, r.SUM_MOD_DATASTORES) == (623107899, 1605933724, 1038804149, 853)
 
 
-def test_hash_units_against_rows_alone():
-    import numpy as np
+def _jenkins_alone(key: bytes, h: int) -> int:
+    """Bob Jenkins's hash of 1996, a key at a time."""
+    w, a, b, at = 0xFFFFFFFF, 0x9E3779B9, 0x9E3779B9, 0
+
+    def mix(a, b, c):
+        for x, y, z in ((13, 8, 13), (12, 16, 5), (3, 10, 15)):
+            a = (a - b - c ^ (c >> x)) & w
+            b = (b - c - a ^ (a << y)) & w
+            c = (c - a - b ^ (b >> z)) & w
+        return a, b, c
+
+    word = lambda i: int.from_bytes(key[at + 4 * i : at + 4 * i + 4], "little")
+    while len(key) - at >= 12:
+        a, b, h = mix((a + word(0)) & w, (b + word(1)) & w, (h + word(2)) & w)
+        at += 12
+    last = int.from_bytes(key[at + 8 :], "little") << 8
+    return mix((a + word(0)) & w, (b + word(1)) & w, (h + len(key) + last) & w)[2]
+
+
+def _hsieh_alone(key: bytes, h: int) -> int:
+    """Paul Hsieh's hash, a key at a time."""
+    w, half = 0xFFFFFFFF, lambda i: int.from_bytes(key[i : i + 2], "little")
+    for i in range(0, len(key) - 3, 4):
+        h = (h + half(i)) & w
+        h = ((h << 16) ^ ((half(i + 2) << 11) ^ h)) & w
+        h = (h + (h >> 11)) & w
+    i = len(key) // 4 * 4
+    if len(key) % 4 == 3:
+        h = (h + half(i)) & w
+        h = (h ^ (h << 16) ^ (key[i + 2] << 18)) & w
+        h += h >> 11
+    elif len(key) % 4 == 2:
+        h = (h + half(i)) & w
+        h = (h ^ (h << 11)) & w
+        h += h >> 17
+    elif len(key) % 4 == 1:
+        h = (h + key[i]) & w
+        h = (h ^ (h << 10)) & w
+        h += h >> 1
+    for left, right in ((3, 5), (4, 17), (25, 6)):
+        h &= w
+        h = (h ^ (h << left)) & w
+        h = (h + (h >> right)) & w
+    return h
+
+
+def test_hash_units_against_the_published_hashes():
+    r = random.Random(3)
+    words = [bytes(r.randrange(256) for _ in range(n)) for n in range(40)]
+    for f, alone, seed in ((P._jenkins, _jenkins_alone, 0xFEEDBEEF), (P._hsieh, _hsieh_alone, 0xCAFEBABE)):
+        with np.errstate(over="ignore"):
+            assert f(words, np.full(len(words), seed, np.uint32)).tolist() == [alone(x, seed) for x in words]
+
+
+def test_numbers_hash_by_their_machine_words(spark):
+    rows = spark.createDataFrame([(258, -1, 1.5), (None, None, None)], "a long, b int, c double")
+    got = rows.select(P.machine_bytes(F.col("a"), "INT64"), P.machine_bytes(F.col("b"), "INT32"), P.machine_bytes(F.col("c"), "DOUBLE"), P.machine_bytes(F.col("c"), "FLOAT")).collect()
+    assert [bytes(x) for x in got[0]] == [(258).to_bytes(8, "little"), b"\xff" * 4, struct.pack("<d", 1.5), struct.pack("<f", 1.5)] and list(got[1]) == [None] * 4
+
 
+def test_hash_units_against_rows_alone():
     words = [b"", b"a", b"abcdefghijk", b"abcdefghijkl", b"abcdefghijklm" * 3, b"xyz"]
     for f in (P._jenkins, P._hsieh):
         with np.errstate(over="ignore"):
@@ -172,6 +279,29 @@ def test_store(spark, tmp_path):
     assert again.get("s1", "p").first().status == "ERROR"
 
 
+def test_a_failed_sync_loses_nothing_and_a_batch_counts_once(spark, tmp_path):
+    conf = config.Config(datastore_prefix=str(tmp_path), histogram_first_n=1)
+    row = lambda *x: spark.createDataFrame([x], "s string, p string, o double, seq long")
+    store = TripleStore.open(spark, conf)
+    for number, o in ((0, 1.0), (1, 2.0)):
+        store.bput(row("a", "p", o, number))
+        store.sync(("stream", number))
+    (tmp_path / "datastore" / "state" / "v=9").mkdir()  # a manifest that was never written
+    again = TripleStore.open(spark, conf)
+    assert again.get("a", "p").first().o == 2.0 and again.log.count() == 2 and again.batches == {"stream": 1}
+    again.bput(row("b", "p", 3.0, 2))
+    assert TripleStore.open(spark, conf).get("b", "p").first().status == "ERROR"
+
+    rows = spark.createDataFrame([("c", "p", 1.0, 1)], "s string, p string, o double, seq long")
+    rows.write.parquet(str(tmp_path / "in"))
+    once = TripleStore.open(spark, config.Config(datastore_prefix=str(tmp_path), datastore_basename="streamed"))
+    read = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    put_stream(read(), once, str(tmp_path / "state")).awaitTermination()
+    shutil.rmtree(tmp_path / "state" / "commits")  # as if the driver had died before it could commit the batch
+    put_stream(read(), once, str(tmp_path / "state")).awaitTermination()
+    assert once.log.count() == 1 and once.version == 1
+
+
 def test_config_and_commands(spark, tmp_path):
     path = tmp_path / "conf"
     path.write_text("# comment\nHASH UTHASH_FNV\nHISTOGRAM_FIRST_N 7\n\nHASH UTHASH_OAT\n")
@@ -186,7 +316,7 @@ def test_config_and_commands(spark, tmp_path):
     ]
 
 
-@pytest.mark.parametrize("name", ["bgetop_prev", "hist_scott_fixed", "app_energy_band", "put_upsert_latest", "hash_oat", "stream_put_equals_batch"])
+@pytest.mark.parametrize("name", ["bgetop_prev", "hist_scott_fixed", "app_energy_band", "put_upsert_latest", "hash_oat", "stream_put_equals_batch", "hash_sax_long", "elen_small_roundtrip", "elen_large_roundtrip", "transform_own", "transform_roundtrip", "generated_triples", "store_reopen", "getop_prev", "hist_per_datastore"])
 def test_catalogue_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "events", "lineitem", "customer", "part"):

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from triplane.functions import encoding as E
 from triplane.functions import partitioning as P
+from triplane.functions import transforms
 from triplane.operators import histogram as H
 from triplane.operators import reads, triples
 from triplane.plans import apps
+from triplane.sources import generate
 from triplane.sources.config import Config
 from triplane.sources.store import TripleStore
 from triplane.streaming import puts
@@ -292,6 +294,17 @@ def read_before_flush(spark, sf_dir):
     return store.flush_gets().select("s", "p", "o", "status")
 
 
+@query("store_reopen", "SELECT c_name AS s, 'acctbal' AS p, c_acctbal AS o, 'SUCCESS' AS status FROM customer")
+def store_reopen(spark, sf_dir):
+    """Put, sync, open anew, and read all of it back."""
+    store, rows = _store(spark), _customers(spark, sf_dir)
+    store.bput(rows)
+    store.sync()
+    again = TripleStore.open(spark, store.config)
+    again.bget(rows)
+    return again.flush_gets().select("s", "p", "o", "status")
+
+
 # Histograms of events.value by event_type.
 _FIRST = 100
 _STATS = f"""v AS (SELECT event_type AS name, value AS o, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
@@ -383,6 +396,16 @@ _hash("hash_sum_mod", "SUM_MOD_DATASTORES", _hash_sql("h + x", 0))
 _hash("hash_ber", "UTHASH_BER", _hash_sql(f"(h * 33 + x) & {_W}", 0))
 _hash("hash_sax", "UTHASH_SAX", _hash_sql(f"xor(h, ((h << 5) + (h >> 2) + x) & {_W})", 0))
 _hash("hash_fnv", "UTHASH_FNV", _hash_sql(f"(xor(h, x) * 16777619) & {_W}", 2166136261))
+_WORD = "list_concat(list_transform(range(0, 8), lambda i: CAST((o_orderkey >> (8 * i)) & 255 AS UBIGINT)), list_transform(range(1, 11), lambda i: CAST(ascii(substr('totalprice', i, 1)) AS UBIGINT)))"
+
+
+@query("hash_sax_long", f"SELECT o_orderkey AS id, CAST(list_reduce(list_prepend(CAST(0 AS UBIGINT), {_WORD}), lambda h, x: xor(h, ((h << 5) + (h >> 2) + x) & {_W})) % 5 AS INTEGER) AS ds FROM orders")
+def hash_sax_long(spark, sf_dir):
+    """Keys whose subject is a native number: its machine word is hashed."""
+    rows = order_triples(spark, sf_dir)
+    return rows.select(F.col("s").alias("id"), P.datastore("UTHASH_SAX", F.col("s"), F.col("p"), 5, s_type="INT64").alias("ds"))
+
+
 _hash("hash_jen", "UTHASH_JEN", None)
 _hash("hash_sfh", "UTHASH_SFH", None)
 
@@ -452,6 +475,43 @@ def elen_double_roundtrip(spark, sf_dir):
     return rows.select("id", F.round(E.decode_float(F.col("code")), 2).alias("value"))
 
 
+@query("elen_small_roundtrip", "SELECT c_custkey AS id, CAST((c_custkey % 1999 - 999) / 1000.0 AS DOUBLE) AS value FROM customer")
+def elen_small_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), E.encode_small((F.col("c_custkey") % 1999 - 999) / 1000, 3).alias("code"))
+    return rows.select("id", E.strict(E.decode_small, F.col("code")).alias("value"))
+
+
+@query("elen_large_roundtrip", "SELECT c_custkey AS id, round(c_acctbal, 2) AS value FROM customer")
+def elen_large_roundtrip(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), E.encode_large(F.col("c_acctbal"), 2).alias("code"))
+    return rows.select("id", F.round(E.strict(E.decode_large, F.col("code")), 2).alias("value"))
+
+
+_TYPES = {"s": "INT64", "p": "BYTE", "o": "DOUBLE"}
+_REVERSED = {"BYTE": (F.reverse, F.reverse)}
+
+
+@query(
+    "transform_own",
+    """SELECT CASE WHEN o_orderkey = 0 THEN '0' WHEN length(o_orderkey::VARCHAR) = 1 THEN ':' || o_orderkey ELSE '::' || length(o_orderkey::VARCHAR) || o_orderkey END AS s,
+       'ecirplatot' AS p FROM orders""",
+)
+def transform_own(spark, sf_dir):
+    """Stored forms: built-in for the subject, the caller's own for texts."""
+    return transforms.encoded(order_triples(spark, sf_dir), _TYPES, _REVERSED).select("s", "p")
+
+
+@query("transform_roundtrip", "SELECT o_orderkey AS s, 'totalprice' AS p, round(o_totalprice, 2) AS o FROM orders")
+def transform_roundtrip(spark, sf_dir):
+    back = transforms.decoded(transforms.encoded(order_triples(spark, sf_dir), _TYPES, _REVERSED), _TYPES, _REVERSED)
+    return back.select("s", "p", F.round("o", 2).alias("o"))
+
+
+@query("generated_triples", "SELECT 'subject-' || r || '-' || i AS s, 'predicate-' || r || '-' || i AS p, 'object-' || r || '-' || i AS o, i AS seq FROM range(3) a(r), range(1000) b(i)")
+def generated_triples(spark, sf_dir):
+    return generate.fixed(spark, 1000, 0).unionByName(generate.fixed(spark, 1000, 1)).unionByName(generate.fixed(spark, 1000, 2))
+
+
 @query("elen_order_agrees", "SELECT CAST(0 AS BIGINT) AS differing")
 def elen_order_agrees(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select((F.round(F.col("c_acctbal") * 100).cast("long")).alias("v"))
@@ -530,7 +590,7 @@ def app_momentum(spark, sf_dir):
 @query("stream_put_equals_batch", "SELECT CAST(user_id AS VARCHAR) AS s, event_type AS p, arg_max(value, event_id) AS o, max(event_id) AS seq FROM events GROUP BY 1, 2")
 def stream_put_equals_batch(spark, sf_dir):
     static = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, so that it may be a file or a folder of parts
     rows = stream.select(F.col("user_id").cast("string").alias("s"), F.col("event_type").alias("p"), F.col("value").alias("o"), F.col("event_id").alias("seq"))
     at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
     import uuid

@@ -59,6 +59,45 @@ def encode_large(v: Column, precision: int, neg: str = NEG, pos: str = POS) -> C
     return F.when(v == 0, F.lit("0")).when(v < 0, F.concat(encode_int(whole, neg, pos), _flip(digits), F.lit(pos))).otherwise(F.concat(encode_int(whole, neg, pos), digits, F.lit(neg)))
 
 
+def _closed(e: Column, neg: str, pos: str) -> Column:
+    """Whether an encoding of three signs or more opens with a sign and closes with the other."""
+    return F.rlike(e, F.lit(rf"^(\Q{neg}\E.+\Q{pos}\E|\Q{pos}\E.+\Q{neg}\E)$"))
+
+
+def decode_small(e: Column, neg: str = NEG, pos: str = POS) -> Column:
+    """The value of an encoded value between -1 and 1, as double; null where the text is no such encoding."""
+    below, digits = F.substring(e, 1, 1) == neg, F.substring(e, F.lit(2), F.length(e) - 2)
+    value = F.concat(F.lit("0."), F.when(below, _flip(digits)).otherwise(digits)).try_cast("double")
+    ok = _closed(e, neg, pos) & F.rlike(digits, F.lit("^[0-9]+$"))
+    return F.when(e == "0", F.lit(0.0)).when(ok, F.when(below, -value).otherwise(value))
+
+
+def decode_large(e: Column, neg: str = NEG, pos: str = POS) -> Column:
+    """The value of an encoded value with a whole part, as double; null where the text is no such encoding.
+
+    The whole part ends where its lengths say; the digits after it are the fraction's. A whole part of 0 has no sign,
+    so the closing sign tells which side of zero the value lies on.
+    """
+    signs = F.regexp_extract(e, rf"^(\Q{neg}\E+|\Q{pos}\E+)", 1)
+    zero = F.substring(e, 1, 1) == "0"
+    below = F.when(zero, F.substring(e, -1, 1) == pos).otherwise(F.substring(e, 1, 1) == neg)
+    body = F.substring(e, F.length(signs) + 1, F.length(e) - F.length(signs) - 1)
+    plain = F.when(below, F.when(zero, F.concat(F.lit("0"), _flip(F.substring(body, 2, 1 << 20)))).otherwise(_flip(body))).otherwise(body)
+    digit = F.substring(plain, 1, 1).try_cast("int")
+    size = F.when(F.length(signs) <= 1, 1).when(F.length(signs) == 2, digit).otherwise(F.substring(plain, F.lit(2), digit).try_cast("int"))
+    at = F.when(F.length(signs) <= 1, 0).when(F.length(signs) == 2, 1).otherwise(1 + digit)
+    value = F.concat(F.substring(plain, at + 1, size), F.lit("."), F.substring(plain, at + size + 1, F.length(plain))).try_cast("double")
+    closed = _closed(e, neg, pos) | F.rlike(e, F.lit(rf"^0[0-9]+(\Q{neg}\E|\Q{pos}\E)$"))
+    ok = closed & F.rlike(body, F.lit("^[0-9]+$")) & (F.length(plain) >= at + size)
+    return F.when(e == "0", F.lit(0.0)).when(ok, F.when(below, -value).otherwise(value))
+
+
+def strict(decode, e: Column, *signs: str) -> Column:
+    """``decode`` (one of the decoders above) of ``e``; a text that is no such encoding is an error, not null. Null stays null."""
+    value = decode(e, *signs)
+    return F.when(value.isNotNull() | e.isNull(), value).otherwise(F.raise_error(F.concat(F.lit("no such encoding: '"), e, F.lit("'"))))
+
+
 def encode_float(v: Column, precision: int, neg: str = NEG, pos: str = POS) -> Column:
     """Sign, encoded power of ten (negated below zero), mantissa digits, and the other sign. Lossy beyond ``precision`` digits."""
     v = v.cast("double")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .encoding import little_endian
+
 WORD = 0xFFFFFFFF
 
 
@@ -19,6 +21,23 @@ def _bytes(c: Column) -> Column:
     return F.when(F.length(b) > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
+def _word_bytes(kind: str, size: int):
+    def run(values: pd.Series) -> pd.Series:
+        flat = values.to_numpy(kind).tobytes()
+        return pd.Series([flat[size * i : size * (i + 1)] for i in range(len(values))])
+
+    return lambda c: F.pandas_udf(run, "binary")(c)
+
+
+def machine_bytes(c: Column, kind: str) -> Column:
+    """The bytes of a native value as a machine word, lowest first; of any other type, the value's own bytes. Null stays null."""
+    if kind in ("INT32", "UINT32", "INT64", "UINT64"):
+        return F.when(c.isNotNull(), little_endian(c, 4 if kind.endswith("32") else 8))
+    if kind in ("FLOAT", "DOUBLE"):
+        return F.when(c.isNotNull(), (_word_bytes("<f4", 4) if kind == "FLOAT" else _word_bytes("<f8", 8))(F.coalesce(c.cast(kind.lower()), F.lit(0.0).cast(kind.lower()))))
+    return c.cast("binary")
+
+
 def _fold(values: Column, seed, step) -> Column:
     return F.aggregate(values, F.lit(seed).cast("long") if isinstance(seed, int) else seed, lambda h, x: step(h, x).bitwiseAND(F.lit(WORD)))
 
@@ -75,7 +94,8 @@ def _padded(values: list[bytes], unit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(len(values), width), sizes
 
 
-#: Shifts of Jenkins's mixing, three rounds: right, left, right.
+#: Shifts of Jenkins's mixing, three rounds: right, left, right. These, the golden ratio 0x9E3779B9, Hsieh's shifts and both
+#: seeds below are fixed values of the published hashes.
 JENKINS_SHIFTS = ((13, 8, 13), (12, 16, 5), (3, 10, 15))
 
 
@@ -150,13 +170,17 @@ HASHES = {
 }
 
 
-def datastore(name_or_function, s: Column, p: Column, n: int, rank: Column | None = None) -> Column:
-    """The datastore (0 to n - 1) of a key by a named hash or by a function of (s, p); native types hash by their text's bytes."""
+def datastore(name_or_function, s: Column, p: Column, n: int, rank: Column | None = None, s_type: str = "BYTE", p_type: str = "BYTE") -> Column:
+    """The datastore (0 to n - 1) of a key by a named hash or by a function of (s, p).
+
+    Parts of a native type (see encoding.TYPES) hash by their machine word's bytes; without a type, by their text's.
+    """
     if name_or_function == "DATASTORE_0":
         return F.lit(0)
     if name_or_function == "RANK_MOD_DATASTORES":
         return F.pmod(F.spark_partition_id() if rank is None else rank, F.lit(n)).cast("int")
     f = HASHES[name_or_function] if isinstance(name_or_function, str) else name_or_function
+    s, p = (c if kind == "BYTE" else machine_bytes(c, kind) for c, kind in ((s, s_type), (p, p_type)))
     return F.pmod(f(s, p), F.lit(n)).cast("int")
 
 

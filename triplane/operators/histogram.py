@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from triplane.sources.tables import cut
+
+#: Groups up to which edges are broadcast.
+FEW_GROUPS = 10_000
+
 
 def _even(bins: Column) -> Column:
     """Edges of equal bins from the smallest first value on."""
@@ -87,11 +92,13 @@ def histogram(values: DataFrame, by: list[str], first_n: int = 10, generator: st
     Counts are combined before the shuffle; only first_n values of a group are ever sorted together.
     """
     keys = _groups(by)
-    made = edges(values, by, first_n, generator).filter("edges IS NOT NULL").select(*keys, "edges")
+    made = cut(edges(values, by, first_n, generator).filter("edges IS NOT NULL").select(*keys, "edges"))
+    # Few groups: their edges go to every task, and no value moves. Many: an equal join, whose hot groups Spark splits.
+    near = F.broadcast(made) if made.count() <= FEW_GROUPS else made
     rows = values if by else values.withColumn("_all", F.lit(0))
     at = F.size(F.filter("edges", lambda e: e <= F.col("o"))) - 1
     # Counted by value's bucket with the edges at hand; each bucket of a group is one row after the combine.
-    counted = rows.join(made, keys).withColumn("bucket", at).filter("bucket >= 0").groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("count"))
+    counted = rows.join(near, keys).withColumn("bucket", at).filter("bucket >= 0").groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("count"))
     listed = made.select(*keys, F.posexplode("edges").alias("bucket", "edge"))
     out = listed.join(counted, [*keys, "bucket"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return out if by else out.drop("_all")

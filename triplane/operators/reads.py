@@ -53,9 +53,8 @@ def getop(triples: DataFrame, op: str, s=None, p=None, n: int = 1) -> DataFrame:
     elif op == "NEXT":
         rows = triples.filter(_from(s, p)).orderBy(*up).limit(n)
     elif op == "PREV":
-        start = triples.filter(_from(s, p)).orderBy(*up).limit(1).select(F.col("s").alias("s0"), F.col("p").alias("p0"))  # one row
-        before = (F.col("s") < F.col("s0")) | ((F.col("s") == F.col("s0")) & (F.col("p") <= F.col("p0")))
-        rows = triples.join(F.broadcast(start), before).drop("s0", "p0").orderBy(*down).limit(n)
+        start = triples.filter(_from(s, p)).select("s", "p").orderBy(*up).first()  # one key, so that the scan below gets a range of literals
+        rows = triples.filter(_upto(*start) if start else F.lit(False)).orderBy(*down).limit(n)
     elif op in ("FIRST", "LAST"):
         rows = triples.orderBy(*(up if op == "FIRST" else down)).limit(n)
     elif op in ("LOWEST", "HIGHEST"):

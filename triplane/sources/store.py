@@ -23,8 +23,9 @@ class TripleStore:
     """Triples (s, p, o, seq) under ``prefix/basename+postfix``, in folders ``ds=<datastore>`` sorted by key.
 
     Puts, gets and deletes are queued; ``flush`` runs them in the order PUT, GET, DELETE and returns a row for each. The
-    put log holds every put, so histograms count overwritten values too. A snapshot is read-only: sync writes a new
-    one beside the old and then points to it, so a failed write loses nothing.
+    put log holds every put, so histograms count overwritten values too. Written tables are read-only: sync writes the
+    new puts and the new triples beside the old ones, then one manifest file of the next number that names them all. The
+    highest number holds, so a failed sync loses nothing, and puts and triples never disagree.
     """
 
     def __init__(self, spark: SparkSession, config: Config):
@@ -49,18 +50,29 @@ class TripleStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def _read(self, what: str) -> DataFrame:
-        pointer = f"{self.path}/{what}.current"
-        if not self._exists(pointer):
-            return self.spark.createDataFrame([], SCHEMA + (", ds int" if what == "triples" else ""))
-        return self.spark.read.parquet(self.spark.read.text(pointer).first()[0])
+    def _manifest(self) -> tuple[int, list[list[str]]]:
+        """Number and lines (kind, value, ...) of the last manifest; 0 and none for a new store."""
+        at = f"{self.path}/state"
+        if not self._exists(at):
+            return 0, []
+        rows = self.spark.read.schema("value string, v long").text(at)
+        last = rows.agg(F.max("v")).first()[0]
+        return last or 0, [r.value.split("\t") for r in rows.filter(F.col("v") == last).collect()]  # a few lines
 
     def _open(self) -> None:
-        self.current, self.log = self._read("triples").drop("ds"), self._read("puts")
+        self.version, lines = self._manifest()
+        of = lambda kind: [x[1] for x in lines if x[0] == kind]
+        self.put_paths, self.batches = of("puts"), {x[1]: int(x[2]) for x in lines if x[0] == "batch"}
+        self.log = self._table(self.put_paths)
+        self.current = self._table(of("triples"))
+        self.fresh = self._table([])
         self.puts: list[DataFrame] = []
         self.gets: list[DataFrame] = []
         self.deletes: list[DataFrame] = []
 
+    def _table(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*paths).select("s", "p", "o", "seq") if paths else self.spark.createDataFrame([], SCHEMA)
+
     def __enter__(self) -> TripleStore:
         return self
 
@@ -83,7 +95,7 @@ class TripleStore:
         rows = self._all(self.puts, SCHEMA)
         self.puts = []
         good = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & (F.col("s") != "") & (F.col("p") != "")
-        self.log = self.log.unionByName(rows.filter(good))
+        self.log, self.fresh = self.log.unionByName(rows.filter(good)), self.fresh.unionByName(rows.filter(good))
         self.current = latest(self.current.unionByName(rows.filter(good)), ["s", "p"]).select("s", "p", "o", "seq")
         return rows.select(F.lit(0).alias("op_order"), F.lit("PUT").alias("op"), "s", "p", F.lit(None).cast("double").alias("o"), F.when(good, SUCCESS).otherwise(ERROR).alias("status"))
 
@@ -125,20 +137,20 @@ class TripleStore:
         return hist.histogram(log, list(by), self.config.histogram_first_n, self.config.histogram_bucket_gen_name)
 
     # Durable state.
-    def _write(self, df: DataFrame, what: str) -> DataFrame:
-        at = f"{self.path}/{what}-{uuid.uuid4().hex}"
-        if "ds" in df.columns:
-            df.repartition("ds", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("ds", "s", "p").write.partitionBy("ds").parquet(at)
-        else:
-            df.write.parquet(at)
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{what}.current")
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def sync(self) -> DataFrame:
-        """Flush what is queued, write the state, and give a SYNC row for each datastore."""
+    def sync(self, batch: tuple[str, int] | None = None) -> DataFrame:
+        """Flush what is queued, write the state, and give a SYNC row for each datastore. ``batch``: a stream's name and the number of its batch that is in."""
         self.flush()
-        self.log = self._write(self.log, "puts")
-        self.current = self._write(self.by_datastore(), "triples").select("s", "p", "o", "seq")
+        number = uuid.uuid4().hex
+        puts, triples = f"{self.path}/puts-{number}", f"{self.path}/triples-{number}"
+        self.fresh.write.parquet(puts)
+        dealt = self.by_datastore().repartition("ds", F.pmod(F.xxhash64("s"), F.lit(8))).sortWithinPartitions("ds", "s", "p")
+        dealt.write.partitionBy("ds").parquet(triples)
+        self.put_paths.append(puts)
+        self.batches |= dict([batch] if batch else [])
+        lines = [f"triples\t{triples}", *(f"puts\t{x}" for x in self.put_paths), *(f"batch\t{k}\t{n}" for k, n in self.batches.items())]
+        self.version += 1
+        self.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{self.path}/state/v={self.version}")
+        self.log, self.current, self.fresh = self._table(self.put_paths), self._table([triples]), self._table([])
         return self.spark.range(self.n).select(F.col("id").cast("int").alias("ds"), F.lit("SYNC").alias("op"), F.lit(SUCCESS).alias("status"))
 
     def change_datastore_name(self, basename: str) -> DataFrame:

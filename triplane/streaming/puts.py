@@ -9,11 +9,15 @@ from triplane.operators.triples import latest
 
 
 def put_stream(source: DataFrame, store, checkpoint: str):
-    """Put every micro-batch of a streaming ``source`` (s, p, o, seq) into a store and sync it; returns the running query."""
+    """Put every micro-batch of a streaming ``source`` (s, p, o, seq) into a store and sync it; returns the running query.
 
-    def put(batch: DataFrame, _: int) -> None:
-        store.bput(batch)
-        store.sync()
+    The store's manifest keeps the number of the last batch of this ``checkpoint``: a batch that comes again is passed over.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        if number > store.batches.get(checkpoint, -1):
+            store.bput(batch)
+            store.sync((checkpoint, number))
 
     return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
