@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from triplane.plans import apps
 from triplane.sources import generate
 from triplane.sources.config import Config
 from triplane.sources.store import TripleStore
+from triplane.sources.tables import shared_folder
 from triplane.streaming import puts
 
 QUERIES: dict = {}
@@ -265,7 +266,7 @@ def getop_per_datastore_first(spark, sf_dir):
 
 # Queues and flushes.
 def _store(spark) -> TripleStore:
-    return TripleStore.open(spark, Config(datastore_prefix=tempfile.mkdtemp(prefix="spark-store-"), datastores_per_server=3))
+    return TripleStore.open(spark, Config(datastore_prefix=f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", datastores_per_server=3))
 
 
 def _customers(spark, sf_dir):
@@ -592,10 +593,7 @@ def stream_put_equals_batch(spark, sf_dir):
     static = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, so that it may be a file or a folder of parts
     rows = stream.select(F.col("user_id").cast("string").alias("s"), F.col("event_type").alias("p"), F.col("value").alias("o"), F.col("event_id").alias("seq"))
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    import uuid
-
-    at = f"{at}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = puts.latest_stream(rows, ["s", "p"], f"{at}/out", f"{at}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out/v={_last(spark, f'{at}/out')}")
