@@ -12,12 +12,15 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, held_out, per_text
+from .common import first_by_hash, held_out, per_text
 
-#: Bounds on training alone: labelled rows, and chunks of each row (spread evenly over its whole text).
-TRAIN_ROWS, TRAIN_CHUNKS = 3_000, 6
+#: Bounds on training alone: labelled rows, and the bytes of their texts; the row that passes the second is the last. Each is taken whole.
+TRAIN_ROWS, TRAIN_BYTES = 3_000, 64_000_000
 CHUNK, OVERLAP, EMBED, WIDTH, STRIDE, FILTERS = 512, 32, 6, 12, 2, 32
+#: Least steps of training.
+STEPS = 200
 #: Windows that one matrix product takes at once.
 ROWS_AT_ONCE = 256
 
@@ -54,10 +57,13 @@ class ByteCnn:
 
     def pooled(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each filter's largest answer in each chunk, and its place."""
-        answers = self.windows(chunks).reshape(-1, WIDTH * EMBED) @ self.filters
-        answers = answers.reshape(len(chunks), -1, FILTERS)
-        at = answers.argmax(1)
-        best = np.take_along_axis(answers, at[:, None, :], 1)[:, 0] + self.bias
+        best, at = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
+        for lo in range(0, len(chunks), ROWS_AT_ONCE):
+            part = slice(lo, lo + ROWS_AT_ONCE)
+            answers = self.windows(chunks[part]).reshape(-1, WIDTH * EMBED) @ self.filters
+            answers = answers.reshape(len(chunks[part]), -1, FILTERS)
+            at[part] = answers.argmax(1)
+            best[part] = np.take_along_axis(answers, at[part][:, None, :], 1)[:, 0] + self.bias
         return best, at
 
     def answers(self, chunks: np.ndarray) -> np.ndarray:
@@ -80,8 +86,9 @@ class ByteCnn:
         starts = np.cumsum([0, *map(len, parts)])[:-1]
         return self.probability(np.concatenate([self.answers(p) for p in parts]), starts)
 
-    def train(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 5) -> ByteCnn:
-        """Adam on the log loss; each document is an array of chunks."""
+    def train(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 5, steps: int = STEPS) -> ByteCnn:
+        """Adam on the log loss; each document is an array of chunks. Few documents are seen more often, for ``steps`` steps at least."""
+        epochs = max(epochs, -(-steps * batch // len(docs)))
         r, names = np.random.default_rng(seed), ("embed", "filters", "bias", "head")
         m = {n: np.zeros_like(getattr(self, n)) for n in names}
         v = {n: np.zeros_like(getattr(self, n)) for n in names}
@@ -102,15 +109,18 @@ class ByteCnn:
                 g_head, g_both = both.T @ d + 1e-4 * self.head, d[:, None] * self.head
                 g_act = g_both[owner, :FILTERS] / sizes[owner, None] + g_both[owner, FILTERS:] * (act == top[owner])
                 g_act *= best > 0
-                row, filt = np.nonzero(g_act)
-                g, x = g_act[row, filt], self.windows(chunks)[row, at[row, filt]]
-                g_filters = np.zeros_like(self.filters)
-                for k in range(FILTERS):
-                    mine = filt == k
-                    g_filters[:, k] = g[mine] @ x[mine]
-                g_x = (g[:, None] * self.filters.T[filt]).reshape(-1, EMBED)
-                codes = chunks[row[:, None], STRIDE * at[row, filt][:, None] + np.arange(WIDTH)].ravel()
-                g_embed = np.stack([np.bincount(codes, g_x[:, j], 257) for j in range(EMBED)], 1).astype(np.float32)
+                g_filters, g_embed = np.zeros_like(self.filters), np.zeros_like(self.embed)
+                for first in range(0, len(chunks), ROWS_AT_ONCE):
+                    part = slice(first, first + ROWS_AT_ONCE)
+                    row, filt = np.nonzero(g_act[part])
+                    g, place = g_act[part][row, filt], at[part][row, filt]
+                    x = self.windows(chunks[part])[row, place]
+                    for k in range(FILTERS):
+                        mine = filt == k
+                        g_filters[:, k] += g[mine] @ x[mine]
+                    g_x = (g[:, None] * self.filters.T[filt]).reshape(-1, EMBED)
+                    codes = chunks[part][row[:, None], STRIDE * place[:, None] + np.arange(WIDTH)].ravel()
+                    g_embed += np.stack([np.bincount(codes, g_x[:, j], 257) for j in range(EMBED)], 1).astype(np.float32)
                 t += 1
                 for n, grad in (("embed", g_embed), ("filters", g_filters), ("bias", g_act.sum(0)), ("head", g_head)):
                     m[n] = 0.9 * m[n] + 0.1 * grad
@@ -124,28 +134,20 @@ class ByteCnn:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteCnn | float:
     """A network, or the share of label 1 where labels have one class (0 with none).
 
-    The sample: at most ``train_rows`` labelled rows that are not held out, by a hash of ids over the whole table, and
-    of each text at most TRAIN_CHUNKS chunks, evenly over its length. Where several labels name a document, the largest holds.
+    The sample: at most ``train_rows`` labelled rows that are not held out, by a hash of ids over the whole table, each with
+    all chunks of its text; fewer rows where their texts pass TRAIN_BYTES. Where several labels name a document, the largest holds.
     """
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("y")).dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    usable = first_by_hash(usable, train_rows)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id")  # at most train_rows small rows
 
-    def setup():
-        def some(texts):
-            out = []
-            for t in texts:
-                c = chunks_of(t.encode())
-                out.append(c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int))].astype(">i2").tobytes())
-            return (out,)
-
-        return some
-
-    rows = sorted((r.doc_id, bytes(r.c), r.y) for r in cut(per_text(sample, "text", ["doc_id", "y"], setup, "c binary")).collect())
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over at most train_rows rows
+    sample = sample.withColumn("_before", F.coalesce(F.sum(F.octet_length("text")).over(upto), F.lit(0))).filter(F.col("_before") < TRAIN_BYTES)
+    rows = sorted((r.doc_id, r.text, r.y) for r in sample.select("doc_id", "text", "y").collect())
     y = np.array([r[2] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    return ByteCnn.start().train([np.frombuffer(r[1], ">i2").astype(np.int16).reshape(-1, CHUNK) for r in rows], y)
+    return ByteCnn.start().train([chunks_of(r[1].encode()) for r in rows], y)
 
 
 def score(docs: DataFrame, model: ByteCnn | float, keep: list[str]) -> DataFrame:

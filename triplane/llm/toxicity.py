@@ -20,7 +20,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, small_batches
+from .common import cut, first_by_hash, held_out, small_batches
 
 #: Most labelled rows that the classifier is fitted on, and that terms are counted in. Both are bounds on training alone.
 TRAIN_ROWS, LEXICON_ROWS = 20_000, 4_000
@@ -123,16 +123,24 @@ class ToxicityModel:
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _lexicon(rows: DataFrame, base: float, most: int = 400) -> frozenset:
-    """Terms that toxic rows hold far more often than others do, by document counts of a bounded sample."""
+def _lexicon(rows: DataFrame, base: float) -> frozenset:
+    """Terms that toxic rows hold far more often than others do, by document counts of a bounded sample: all that pass the test."""
     words = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("w"))
     n, t = F.count(F.lit(1)), F.sum("toxic")
     counts = words.groupBy("w").agg(n.alias("n"), t.alias("t")).filter("t >= 4")
     excess = (F.col("t") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
-    found = counts.withColumn("z", excess).filter((F.col("z") > 5) & (F.col("t") > 0.5 * F.col("n"))).orderBy(F.desc("z"), "w").limit(most)
+    found = counts.withColumn("z", excess).filter((F.col("z") > 5) & (F.col("t") > 0.5 * F.col("n")))
     return SEEDS | {r.w for r in found.select("w").collect()}
 
 
+def curve_of(held: DataFrame) -> list[tuple[float, float]]:
+    """Points of the isotonic curve of ``held`` (s, toxic): the ends of its steps, joined by lines."""
+    iso = IsotonicRegression(labelCol="toxic", featuresCol="s").fit(held)
+    xs, ys = list(iso.boundaries), list(iso.predictions)
+    keep = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or ys[i] != ys[i - 1] or ys[i] != ys[i + 1]]
+    return [(float(xs[i]), float(ys[i])) for i in keep]
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Fit on at most ``train_rows`` labelled rows that are not held out, taken by a hash of their ids over the whole table.
 
@@ -140,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     both classes every score is the share of label 1 (0 with no labels).
     """
     usable = labels.select("doc_id", F.col("toxic").cast("double").alias("toxic")).dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    usable = first_by_hash(usable, train_rows)
     sample = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(usable), "doc_id"))  # at most train_rows small rows
     n, t = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
     base = t / n if n else 0.0
@@ -154,10 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     trees = GBTClassifier(featuresCol="_v", labelCol="toxic", predictionCol="_p", maxIter=20, maxDepth=3, stepSize=0.3, seed=7, cacheNodeIds=False)
     trees = trees.setProbabilityCol("_q").setRawPredictionCol("_r").fit(rows if whole else rows.filter(~F.col("cal")))
     held = trees.transform(rows if whole else rows.filter("cal")).select("toxic", vector_to_array("_q")[1].alias("s"))
-    iso = IsotonicRegression(labelCol="toxic", featuresCol="s").fit(held)
-    xs, ys = list(iso.boundaries), list(iso.predictions)
-    keep = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or ys[i] != ys[i - 1] or ys[i] != ys[i + 1]]
-    return ToxicityModel(lexicon, trees, [(float(xs[i]), float(ys[i])) for i in keep], base)
+    return ToxicityModel(lexicon, trees, curve_of(held), base)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,6 +176,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic; the columns stay."""
+    """``docs`` without the rows that are predicted toxic; the columns stay.
+
+    Null and empty texts are scored as a zero vector; rows of null or repeated doc_id are scored each by itself;
+    without labels of both classes nothing goes unless most labels are toxic; an empty table gives an empty result.
+    """
     rows = docs.select(F.struct("*").alias("_row"), "text")
     return fit(docs, labels).score(rows).filter("predicted = 0").select("_row.*")
