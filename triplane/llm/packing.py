@@ -10,6 +10,7 @@ pieces dealt anew, so that no shard keeps its own waste.
 from __future__ import annotations
 
 import functools
+import heapq
 import zlib
 
 import numpy as np
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut, per_text
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of a shard on average; islands of a shard; rounds with a migration; rounds of shards.
+#: Pieces of a shard on average; islands of a shard; rounds with a migration; rounds of shards. Then, of an island: solutions, most generations a round,
+#: generations without a better solution that end a round, and the fill from which a bin is well filled.
 SHARD, ISLANDS, MIGRATIONS, DEALS = 3000, 2, 2, 2
-POPULATION, GENERATIONS, WELL_FILLED = 3, 4, 0.985
+POPULATION, GENERATIONS, STALE, WELL_FILLED = 4, 40, 12, 0.985
 
 
 @functools.lru_cache(maxsize=2)
@@ -40,6 +42,9 @@ def tokenizer(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    splitter = spec["pre_tokenizer"]
+    if splitter["type"] != "ByteLevel" or not splitter["use_regex"] or splitter["add_prefix_space"] or spec["normalizer"]:
+        raise ValueError(f"{path}: only byte-level files with the usual pattern and no normaliser are read here")
     vocab, code = spec["model"]["vocab"], {c: b for b, c in enumerate(byte_letters())}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(code[c] for c in token): i for token, i in vocab.items() if token not in special}
@@ -69,19 +74,20 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
 
 class Bins:
-    """Bins of one solution; a bin is a list of item numbers."""
+    """Bins of one solution; a bin is a list of item numbers. Lists are shared between solutions and never changed in place."""
 
-    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None):
+    def __init__(self, sizes: list[int], capacity: int, bins: list[list[int]] | None = None, loads: list[int] | None = None):
         self.sizes, self.capacity, self.bins = sizes, capacity, bins or []
-        self.loads = [sum(sizes[i] for i in b) for b in self.bins]
+        self.loads = [sum(sizes[i] for i in b) for b in self.bins] if loads is None else loads
 
     def add(self, items) -> None:
         """Best fit: each item goes to the fullest bin that has room, or to a new bin."""
         room: list[list[int]] = [[] for _ in range(self.capacity + 1)]
         mask = 0
         for k, load in enumerate(self.loads):
-            room[self.capacity - load].append(k)
-            mask |= 1 << (self.capacity - load)
+            if load < self.capacity:
+                room[self.capacity - load].append(k)
+                mask |= 1 << (self.capacity - load)
         for i in items:
             size = self.sizes[i]
             fit = mask >> size
@@ -90,7 +96,7 @@ class Bins:
                 k = room[r].pop()
                 if not room[r]:
                     mask ^= 1 << r
-                self.bins[k].append(i)
+                self.bins[k] = [*self.bins[k], i]
                 self.loads[k] += size
             else:
                 r, k = self.capacity, len(self.bins)
@@ -101,44 +107,84 @@ class Bins:
                 room[left].append(k)
                 mask |= 1 << left
 
+    def swap_in(self, items) -> list[int]:
+        """Items, largest first, take the place of smaller ones where that fills a bin to the brim; what is left outside."""
+        wanted: dict[int, list[tuple[int, int]]] = {}
+        for k, (b, load) in enumerate(zip(self.bins, self.loads, strict=True)):
+            if load < self.capacity:
+                for i in b:
+                    wanted.setdefault(self.sizes[i] + self.capacity - load, []).append((k, i))
+        heap, left = [(-self.sizes[i], i) for i in items], []
+        heapq.heapify(heap)
+        while heap:
+            j = heapq.heappop(heap)[1]
+            places = wanted.get(self.sizes[j], ())
+            while places:
+                k, i = places.pop()
+                if self.loads[k] < self.capacity:
+                    self.bins[k] = [j if x == i else x for x in self.bins[k]]
+                    self.loads[k] = self.capacity
+                    heapq.heappush(heap, (-self.sizes[i], i))
+                    break
+            else:
+                left.append(j)
+        return left
+
     def worth(self) -> tuple:
-        """Fewer bins first, then fuller ones."""
+        """Fewer bins first, then the larger sum of squared fills: one bin full and one empty beat two half full."""
         return len(self.bins), -sum(x * x for x in self.loads)
 
 
 def crossover(a: Bins, b: Bins, rng: np.random.Generator) -> Bins:
-    """A child of ``a`` with whole well-filled bins of ``b``."""
-    good = [k for k, load in enumerate(b.loads) if load >= WELL_FILLED * b.capacity]
-    good = [k for k in good if rng.random() < 0.5]
-    put = [list(b.bins[k]) for k in good]
-    taken = {i for x in put for i in x}
-    keep, displaced = [], []
-    for bin_, load in zip(a.bins, a.loads, strict=True):
-        if taken.isdisjoint(bin_) and (load >= WELL_FILLED * a.capacity or rng.random() < 0.5):
-            keep.append(list(bin_))
+    """A child of ``a`` with whole well-filled bins of ``b``.
+
+    Some well-filled bins of ``b`` are injected as they are. Bins of ``a`` that hold one of their documents go, as do some
+    that are not full. What that displaces is swapped in where it fills a bin, and best-fitted otherwise, in an
+    order that is by size or nearly so.
+    """
+    share, gone = rng.choice((0.1, 0.3)), rng.choice((0.2, 0.6))
+    dice = rng.random(len(b.bins)).tolist()
+    put = [k for k, load in enumerate(b.loads) if load >= WELL_FILLED * b.capacity and dice[k] < share]
+    taken = {i for k in put for i in b.bins[k]}
+    keep, loads, displaced, dice = [], [], [], rng.random(len(a.bins)).tolist()
+    for bin_, load, die in zip(a.bins, a.loads, dice, strict=True):
+        if taken.isdisjoint(bin_) and (load == a.capacity or die >= gone):
+            keep.append(bin_)
+            loads.append(load)
         else:
             displaced.extend(i for i in bin_ if i not in taken)
-    child = Bins(a.sizes, a.capacity, keep + put)
-    child.add(sorted(displaced, key=lambda i: -a.sizes[i]))
+    child = Bins(a.sizes, a.capacity, keep + [b.bins[k] for k in put], loads + [b.loads[k] for k in put])
+    left, noise = child.swap_in(displaced), rng.choice((0.0, 0.0, 0.1, 0.3)) * a.capacity
+    child.add([i for _, i in sorted((-a.sizes[i] - noise * x, i) for i, x in zip(left, rng.random(len(left)).tolist(), strict=True))])
     return child
 
 
 def evolve(sizes: list[int], capacity: int, seed: int, known: list[Bins], generations: int = GENERATIONS) -> Bins:
-    """The best solution after some generations; ``known`` solutions join the first population."""
+    """The best solution after some generations; ``known`` solutions join the first population.
+
+    The first parent is best fit by falling size; the others are best fits in random-key orders, each further from
+    that order. Ends early at the floor, the least count that the sizes' sum allows, and when STALE generations in a
+    row bring no better solution.
+    """
     rng = np.random.default_rng(seed)
     people = list(known)
-    while len(people) < POPULATION + len(known):
-        new, noise = Bins(sizes, capacity), rng.random(len(sizes)) * (0 if not people else capacity * 0.1)
-        new.add(sorted(range(len(sizes)), key=lambda i: -sizes[i] - noise[i]))
+    while len(people) < POPULATION:
+        new, noise = Bins(sizes, capacity), rng.random(len(sizes)) * (capacity * 0.15 * len(people))
+        new.add(sorted(range(len(sizes)), key=(-np.array(sizes) - noise).tolist().__getitem__))
         people.append(new)
-    floor = -(-sum(sizes) // capacity)
+    floor, stale = -(-sum(sizes) // capacity), 0
+    people.sort(key=Bins.worth)
     for _ in range(generations):
-        people.sort(key=Bins.worth)
-        if len(people[0].bins) <= floor:
+        if len(people[0].bins) <= floor or stale == STALE:
             break
-        people = people[:POPULATION]
-        people += [crossover(people[0], x, rng) for x in people[1:]] + [crossover(x, people[0], rng) for x in people[1:]]
-    return min(people, key=Bins.worth)
+        best = people[0].worth()
+        mate = 1 + int(rng.integers(len(people) - 1))
+        people += [crossover(people[0], people[mate], rng), crossover(people[mate], people[0], rng)]
+        people = sorted({x.worth(): x for x in reversed(people)}.values(), key=Bins.worth)[:POPULATION]
+        if len(people) < 2:
+            people *= 2
+        stale = 0 if people[0].worth() < best else stale + 1
+    return people[0]
 
 
 def _islands(items: DataFrame, capacity: int, islands: int, migrations: int, seed: int) -> DataFrame:
@@ -173,7 +219,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
 
     Ties and repeated rows are pieces of their own; other columns stay; an empty table gives an empty result.
     """
-    rows = cut(pieces.drop("sequence_id", "offset").withColumn("uid", F.monotonically_increasing_id()))
+    given = pieces.drop("sequence_id", "offset")
+    rows = cut(given.select(F.struct("*").alias("row"), F.col("length"), F.monotonically_increasing_id().alias("uid")))
     open_ = rows.filter(F.col("length") < capacity).select("uid", "length")
     done = [rows.filter(F.col("length") >= capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     for deal in range(deals):
@@ -195,7 +242,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
     places = done[0]
     for x in done[1:]:
         places = places.unionByName(x)
-    return rows.join(places, "uid").drop("uid")
+    return rows.join(places, "uid").select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
