@@ -8,6 +8,7 @@ rule, in a few seconds, once in a driver's life.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import math
@@ -24,32 +25,47 @@ from .common import per_text
 PATH_DIM, WORD_DIM, RATES, HIDDEN = 192, 24, 7, 16
 #: Padded blocks that one pass of the network takes at once; longer pages pass by themselves.
 PASS_BLOCKS = 4096
-RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|title|textarea|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>")
+#: What no reader sees: comments, declarations, scripts, styles and templates. All else is a block for the labeller.
+RAW = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>")
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
 ATTR = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mspace mpadded mphantom mtable mtr mtd semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A tag of these closes an open one of the same kind.
 SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
 
 
 class Block:
+    """Text of a block, the letters of it in links, and the slots of its tag path."""
+
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
+    def __init__(self, path: np.ndarray, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
+@functools.lru_cache(maxsize=200_000)
+def _slot(word: str, dim: int) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % dim
+
+
 @functools.lru_cache(maxsize=20_000)
-def _names(tag: str, attrs: str) -> tuple:
+def _slots(tag: str, attrs: str) -> tuple:
+    """Slots of a tag's name and of the words of its class, id and role."""
     words = [w for m in ATTR.finditer(attrs) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if w]
-    return (tag, ("t:" + tag, *("c:" + w for w in words)))
+    return tuple(_slot(name, PATH_DIM) for name in ("t:" + tag, *("c:" + w for w in words)))
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of a page with text, in page order; character references decoded, white space as one space."""
-    page = RAW.sub(lambda m: " " if m[0][:2] == "<!" else "", page)
+    """Blocks of a page with text, in page order; character references decoded, white space as one space.
+
+    The path is kept as counts of its slots, so a block costs the same however deep it lies.
+    """
+    page = RAW.sub("", page)
     out, open_, text, linked, in_link, at = [], [], [], 0, 0, 0
+    counts, of_tag, path = np.zeros(PATH_DIM, np.int32), collections.Counter(), None
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -59,14 +75,28 @@ def blocks_of(page: str) -> list[Block]:
             linked += len(s.strip()) if in_link else 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(Block(tuple(n for _, names in open_ for n in names), joined, linked))
+                if path is None:
+                    path = np.flatnonzero(counts).astype(np.uint8)
+                out.append(Block(path, joined, linked))
             text.clear()
         linked = 0
 
+    def move(tag: str, slots: tuple, by: int) -> None:
+        nonlocal path
+        for k in slots:
+            counts[k] += by
+        of_tag[tag] += by
+        path = None
+
+    def leave() -> str:
+        tag, slots = open_.pop()
+        move(tag, slots, -1)
+        return tag
+
     for m in TAG.finditer(page):
         add(page[at : m.start()])
         at, tag = m.end(), m[2].lower()
@@ -79,35 +109,29 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or tag in INLINE:
             continue
         if m[1]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    del open_[i:]
-                    break
+            while of_tag[tag] and leave() != tag:
+                pass
         else:
             if tag in SELF_CLOSING and open_ and open_[-1][0] == tag:
-                open_.pop()
-            open_.append(_names(tag, m[3]))
+                leave()
+            open_.append((tag, _slots(tag, m[3])))
+            move(*open_[-1], 1)
     add(page[at:])
     close()
     return out
 
 
-@functools.lru_cache(maxsize=200_000)
-def _slot(word: str, dim: int) -> int:
-    return zlib.crc32(word.encode()) % dim
-
-
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row for each block."""
-    x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + RATES), np.float32)
-    for i, b in enumerate(blocks):
-        for name in b.path:
-            x[i, _slot(name, PATH_DIM)] = 1
+def vectors(blocks: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """A row for each block of a page, or of a part of it."""
+    part = blocks[lo:hi]
+    x = np.zeros((len(part), PATH_DIM + WORD_DIM + RATES), np.float32)
+    for i, b in enumerate(part):
+        x[i, b.path] = 1
         words = b.text.lower().split()
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([_slot(w, WORD_DIM) for w in words], minlength=WORD_DIM) / len(words)
         size = len(b.text)
         x[i, PATH_DIM + WORD_DIM :] = (
-            min(1.0, b.linked / size), math.log1p(size) / 8, sum(map(b.text.count, ".,;:")) / len(words) / 2, i / len(blocks),
+            min(1.0, b.linked / size), math.log1p(size) / 8, sum(map(b.text.count, ".,;:")) / len(words) / 2, (lo + i) / len(blocks),
             min(len(blocks), 200) / 200, 1.0 if "©" in b.text else 0.0, 1.0,
         )
     return x
@@ -124,11 +148,11 @@ class Lstm:
         self.w = (rng.standard_normal((dim, 4 * HIDDEN)) * 0.1).astype(np.float32)
         self.u = (rng.standard_normal((HIDDEN, 4 * HIDDEN)) * 0.2).astype(np.float32)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """States (time, page, HIDDEN); past a page's end the state stays as it is."""
+    def run(self, x: np.ndarray, mask: np.ndarray, keep: bool = False, state: tuple | None = None):
+        """States (time, page, HIDDEN); past a page's end the state stays as it is. ``state``: what an earlier part ended with."""
         steps, n = mask.shape
         z = x @ self.w
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, tape = np.empty((steps, n, HIDDEN), np.float32), []
         for t in range(steps):
             g = z[t] + h @ self.u
@@ -140,6 +164,7 @@ class Lstm:
                 tape.append((h, c, i, f, o, a, tc, m))
             c, h = np.where(m, c_new, c), np.where(m, o * tc, h)
             out[t] = h
+        self.ended = h, c
         return out, tape
 
     def back(self, x: np.ndarray, tape: list, d_out: np.ndarray):
@@ -180,18 +205,35 @@ class BlockLabeller:
         both = np.concatenate([a, b[::-1], x], 2)
         return both, _sigmoid(both @ self.v + self.shift[0]), tape_a, tape_b
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page: True for blocks of the main text."""
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """For each page's blocks: True for those of the main text. A pass takes PASS_BLOCKS blocks, padding included."""
         out: list = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
         while order:
-            take = max(1, min(len(order), PASS_BLOCKS // len(pages[order[min(len(order), 64) - 1]])))
+            take = 1
+            while take < len(order) and (take + 1) * len(pages[order[take]]) <= PASS_BLOCKS:
+                take += 1
             part, order = order[:take], order[take:]
-            _, p, _, _ = self._forward(*self.padded([pages[i] for i in part]))
+            if len(pages[part[0]]) > PASS_BLOCKS:
+                out[part[0]] = self._long(pages[part[0]]) >= 0.5
+                continue
+            _, p, _, _ = self._forward(*self.padded([vectors(pages[i]) for i in part]))
             for j, i in enumerate(part):
                 out[i] = p[: len(pages[i]), j] >= 0.5
         return out
 
+    def _long(self, blocks: list[Block]) -> np.ndarray:
+        """Probabilities of one long page: parts in both directions, each starting where the last one ended."""
+        parts = [(lo, min(lo + PASS_BLOCKS, len(blocks))) for lo in range(0, len(blocks), PASS_BLOCKS)]
+        states = np.empty((len(blocks), 2 * HIDDEN), np.float32)
+        for net, order, step, cols in ((self.ahead, parts, 1, slice(0, HIDDEN)), (self.behind, parts[::-1], -1, slice(HIDDEN, None))):
+            state = None
+            for lo, hi in order:
+                x = vectors(blocks, lo, hi)[::step, None]
+                got, _ = net.run(x, np.ones(x.shape[:2], bool), state=state)
+                states[lo:hi, cols], state = got[::step, 0], net.ended
+        return np.concatenate([_sigmoid(np.concatenate([states[lo:hi], vectors(blocks, lo, hi)], 1) @ self.v + self.shift[0]) for lo, hi in parts])
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 12, batch: int = 24, rate: float = 0.01) -> BlockLabeller:
         rng = np.random.default_rng(2)
         params = [self.ahead.w, self.ahead.u, self.behind.w, self.behind.u, self.v, self.shift]
@@ -242,7 +284,12 @@ def _made_page(r: random.Random) -> str:
     link = lambda: f'<a href="/{word()}">{mark(0, r.choice([word(), r.choice(REST_WORDS), prose(1, 3)]))}</a>'
 
     def rest() -> str:
-        kind = r.randrange(9)
+        kind = r.randrange(10)
+        if kind == 9:
+            return r.choice([
+                f"<noscript>{mark(0, prose(2, 20))}</noscript>", f"<iframe{name(REST_NAMES)}>{mark(0, prose(1, 9))}</iframe>", f"<form><textarea>{mark(0, prose(1, 12))}</textarea></form>",
+                f"<svg><title>{mark(0, prose(1, 4))}</title><text>{mark(0, prose(1, 2))}</text></svg>", f"<object{name(REST_NAMES)}>{mark(0, prose(1, 9))}</object>",
+            ])
         if kind == 0:
             return f"<nav{r.choice(['', name(REST_NAMES)])}><ul>{''.join(f'<li>{link()}</li>' for _ in range(r.randint(2, 8)))}</ul></nav>"
         if kind == 1:
@@ -292,7 +339,8 @@ def _made_page(r: random.Random) -> str:
     parts = [head, *(rest() for _ in range(r.randint(0, 3))), body(), *(rest() for _ in range(r.randint(0, 3))), foot]
     if r.random() < 0.15:
         parts = [f'<div class="{word()}">', *parts, "</div>"]
-    return f"<html><body>{''.join(parts)}</body></html>"
+    title = f"<head><title>{mark(0, prose(1, 12))}</title></head>" if r.random() < 0.6 else ""
+    return f"<html>{title}<body>{''.join(parts)}</body></html>"
 
 
 @functools.lru_cache(maxsize=1)
@@ -314,7 +362,7 @@ def trained(pages: int = 1500, seed: int = 20) -> BlockLabeller:
 def extract(pages: list[str], model: BlockLabeller) -> list[str]:
     """Main text of each page: its blocks in page order, joined by a line feed."""
     blocks = [blocks_of(p) for p in pages]
-    return ["\n".join(b.text for b, k in zip(bs, keep, strict=True) if k) for bs, keep in zip(blocks, model.label([vectors(bs) for bs in blocks]), strict=True)]
+    return ["\n".join(b.text for b, k in zip(bs, keep, strict=True) if k) for bs, keep in zip(blocks, model.label(blocks), strict=True)]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
