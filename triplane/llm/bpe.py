@@ -2,13 +2,16 @@
 
 The words of a batch lie in one flat array of symbols. A round looks up every adjacent pair in the sorted table of
 merges by binary search, takes each word's pair of lowest rank, joins its occurrences from left to right, and
-repeats until no word has a pair that merges. Words already seen come from a bounded cache.
+repeats until no word has a pair that merges. A word of very many letters would need a round for each rank in it; it
+takes its pairs of lowest rank from a heap instead. What stands between two white spaces (a run) is looked up
+whole in a bounded cache, so only new runs are split into words, and only new words are merged.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -18,8 +21,13 @@ from pyspark.sql import DataFrame
 
 from .common import per_text
 
-#: Most words that a worker's cache holds before it is emptied; no limit on what is encoded.
-CACHE_WORDS = 400_000
+#: Most runs, and most words, that a worker's caches hold before they are emptied; no limit on what is encoded.
+CACHE_RUNS, CACHE_WORDS = 500_000, 300_000
+#: Letters (bytes) from which a word is merged by a heap.
+LONG = 1000
+
+
+SPACE, SIGNS = regex.compile(r"\s+"), regex.compile("[\x1c-\x1f]")
 
 
 def byte_letters() -> list[str]:
@@ -55,6 +63,36 @@ class WordBpe:
         for t, i in self.special.items():
             self.tokens[i] = t
         self.cache: dict[str, tuple] = {}
+        self.runs: dict[str, tuple] = {}
+
+    @functools.cached_property
+    def table(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Of each pair that merges: its rank and what it becomes."""
+        return {(k >> 32, k & 0xFFFFFFFF): x for k, x in zip(self.keys.tolist(), zip(self.ranks.tolist(), self.joined.tolist(), strict=True), strict=True)}
+
+    def merge_long(self, word: str) -> np.ndarray:
+        """Token ids of one word, in time near to proportional to its length."""
+        coded = np.frombuffer(word.encode(), np.uint8)
+        first = self.first[coded]
+        first[-1] = self.last[coded[-1]]
+        ids, table = first[first >= 0].tolist(), self.table
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(table[x][0], k, *x) for k, x in enumerate(zip(ids, ids[1:])) if x in table]
+        heapq.heapify(heap)
+        while heap:
+            _, k, a, b = heapq.heappop(heap)
+            nxt = after[k]
+            if ids[k] != a or nxt >= n or ids[nxt] != b:
+                continue
+            ids[k], ids[nxt] = table[a, b][1], -1
+            after[k] = far = after[nxt]
+            if far < n:
+                before[far] = k
+            for left, right in ((before[k], k), (k, far)):
+                if left >= 0 and right < n and (x := (ids[left], ids[right])) in table:
+                    heapq.heappush(heap, (table[x][0], left, *x))
+        return np.array([i for i in ids if i >= 0], np.int64)
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """Token ids of each word."""
@@ -93,55 +131,70 @@ class WordBpe:
         order = np.argsort(all_word, kind="stable")
         return np.split(all_ids[order], np.cumsum(np.bincount(all_word, minlength=len(words)))[:-1])
 
-    def normal(self, text: str) -> str:
-        """NFC, white space to one space, each character in lower case by itself (no final sigma)."""
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return regex.sub(r"\s+", " ", text).lower()
-
-    def parts(self, text: str):
-        """Pieces of a text: (special token's id, None) or (None, words)."""
-        at = 0
-        for m in self.special_re.finditer(text) if self.special_re else ():
-            yield None, self.word_re.findall(self.normal(text[at : m.start()]))
-            yield self.special[m[0]], None
+    @staticmethod
+    def normal(text: str) -> str:
+        """NFC, and each character in lower case by itself (no final sigma). White space is in no word, so its form does not matter."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+    def parts(self, run: str) -> list:
+        """Pieces of a run: a special token's id, or a word."""
+        out, at = [], 0
+        for m in self.special_re.finditer(run) if self.special_re else ():
+            out += self.word_re.findall(self.normal(run[at : m.start()]))
+            out.append(self.special[m[0]])
             at = m.end()
-        yield None, self.word_re.findall(self.normal(text[at:]))
+        return out + self.word_re.findall(self.normal(run[at:]))
 
     def learn(self, words: set[str]) -> None:
+        """Put words into the cache."""
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-        new = sorted(w for w in words if w not in self.cache)
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
+        short = sorted(w for w in words if len(w) < LONG)
+        put = lambda w, ids: self.cache.__setitem__(w, (ids.astype("<u4").tobytes(), " ".join([self.tokens[i] for i in ids.tolist()])))
+        for lo in range(0, len(short), 50_000):
+            part = short[lo : lo + 50_000]
             for w, ids in zip(part, self.merge(part), strict=True):
-                self.cache[w] = (ids.astype("<u4").tobytes(), " ".join(self.tokens[i] for i in ids))
+                put(w, ids)
+        for w in words:
+            if len(w) >= LONG:
+                put(w, self.merge_long(w))
+
+    def learn_runs(self, runs: set[str]) -> None:
+        """Put runs into the cache."""
+        runs, joined = list(runs), "\n".join(runs)
+        if self.special_re and self.special_re.search(joined):
+            split = [self.parts(r) for r in runs]
+        else:  # isalpha is \p{L}+: such a run is one word
+            split = [[r] if r.isalpha() else self.word_re.findall(r) for r in self.normal(joined).split("\n")]
+        words = {w for pieces in split for w in pieces if isinstance(w, str)}
+        missing = words.difference(self.cache)
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache.clear()
+            missing = words
+        self.learn(missing)
+        get = self.cache.__getitem__
+        special = lambda i: (int(i).to_bytes(4, "little"), self.tokens[i])
+        for run, pieces in zip(runs, split, strict=True):
+            if len(pieces) == 1 and isinstance(pieces[0], str):
+                self.runs[run] = get(pieces[0])
+            else:
+                got = [get(w) if isinstance(w, str) else special(w) for w in pieces]
+                self.runs[run] = (b"".join([x[0] for x in got]), " ".join([x[1] for x in got if x[1]]))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Of each text: its ids as little-endian unsigned 32-bit integers, and its decoding (tokens joined by one space)."""
-        split = [list(self.parts(t)) for t in texts]
-        new = set()
-        for pieces in split:
-            for _, words in pieces:
-                if words:
-                    new.update(words)
-        new.difference_update(self.cache)
+        # str.split also parts at these four signs, which are no white space to the tokenizer. No special token holds white space.
+        split = [SPACE.split(t) if SIGNS.search(t) else t.split() for t in texts]
+        new = set().union(*split).difference(self.runs)
         if new:
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = {w for pieces in split for _, words in pieces for w in words or ()}
-            self.learn(new)
-        get, out = self.cache.__getitem__, []
-        for pieces in split:
-            ids, shown = [], []
-            for special, words in pieces:
-                if words is None:
-                    ids.append(int(special).to_bytes(4, "little"))
-                    shown.append(self.tokens[special])
-                elif words:
-                    got = list(map(get, words))
-                    ids.extend(x[0] for x in got)
-                    shown.extend(x[1] for x in got if x[1])
-            out.append((b"".join(ids), " ".join(shown)))
+            if len(self.runs) + len(new) > CACHE_RUNS:
+                self.runs.clear()
+                new = set().union(*split)
+            self.learn_runs(new)
+        get, out = self.runs.__getitem__, []
+        for runs in split:
+            ids, shown = zip(*map(get, runs), strict=True) if runs else ((), ())
+            out.append((b"".join(ids), " ".join(filter(None, shown))))
         return out
 
 
@@ -171,5 +224,5 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int) of each row."""
+    """doc_id and ids (array of int) of each row; null and empty texts have none. Repeated rows each get a row; an empty table gives an empty result."""
     return per_text(docs, "text", ["doc_id"], lambda: lambda texts: ([np.frombuffer(b, "<u4").tolist() for b, _ in load(path).encode_batch(texts)],), "ids array<int>")
