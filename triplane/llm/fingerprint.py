@@ -1,8 +1,10 @@
 """Document fingerprints from closed syncmers, with DataFrame operations alone.
 
-A text's words are hashed. A window of K words is chosen when the smallest of its inner substrings of S words lies at
-its first or last place: the choice depends on the window alone, so equal passages choose equal windows wherever they
-stand. A fingerprint is the M smallest hashes of chosen windows, a sample that likeness can be told from.
+A text is cut into short pieces: up to PIECE signs of a word, or one sign of a script that is written without spaces.
+A window of K pieces is chosen when the smallest of its inner substrings of S pieces lies at its first or last place:
+the choice depends on the window alone, so equal passages choose equal windows wherever they stand. Marks before the first
+and after the last piece give short texts windows too: of any K - S windows in a row one at least is chosen, so every
+text with a piece has one. A fingerprint is the M smallest hashes of chosen windows, a sample that likeness can be told from.
 """
 
 from __future__ import annotations
@@ -13,8 +15,14 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-#: Words of a window, of an inner substring, and hashes of a fingerprint.
+#: Pieces of a window, of an inner substring, and hashes of a fingerprint.
 K, S, M = 5, 2, 64
+#: Signs of a piece at most; scripts without spaces, whose signs are pieces each.
+PIECE = 4
+ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+PIECES = rf"([{ALONE}]|[^\x20\x09-\x0D{ALONE}]{{1,{PIECE}}})"
+#: Bytes of texts that one part holds on average, and most parts.
+PART_BYTES, PARTS = 1 << 20, 50_000
 
 
 def _let(value: Column, f) -> Column:
@@ -23,17 +31,19 @@ def _let(value: Column, f) -> Column:
 
 
 def _hashes(text: Column) -> Column:
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """Hashes of a text's pieces between marks; [] for a text without pieces."""
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(1)), lambda w: F.xxhash64(w))
+    marks = lambda n: F.array(*[F.lit(i).cast("long") for i in range(n)])
+    return _let(pieces, lambda h: F.when(F.size(h) > 0, F.concat(marks(K - 1), h, marks(K - S - 1))).otherwise(h))
 
 
 def _inner(h: Column) -> Column:
-    """Hash of each substring of S = 2 words, by its first word; the last has no partner and stays out of windows."""
+    """Hash of each substring of S = 2 pieces, by its first piece; the last has no partner and stays out of windows."""
     return F.zip_with(h, F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
 def _chosen(h: Column, f) -> Column:
-    """f(place, hash) of each chosen window, null for the others; [] for texts of under K words."""
+    """f(place, hash) of each chosen window; [] for texts without pieces."""
 
     def windows(s):
         def one(i):
@@ -47,17 +57,20 @@ def _chosen(h: Column, f) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The M smallest distinct hashes of chosen windows, in order; of all words as one where no window is chosen."""
+    """The M smallest distinct hashes of chosen windows, in order; of a text without pieces, the hash of its white space."""
 
     def of(h):
         chosen = F.slice(F.sort_array(F.array_distinct(_chosen(h, lambda _, x: x))), 1, M)
-        return _let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.xxhash64(h).bitwiseAND(F.lit(0xFFFFFFFF)))))
+        return _let(chosen, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))))
 
     return _let(_hashes(text), of)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, place (number of a window's first word), hash: the chosen windows of each text, for positional matching."""
+    """doc_id, place (number of a window's first piece, marks included), hash: the chosen windows of each text, for positional matching.
+
+    Texts without pieces (null, empty, white space) have none; rows of null or repeated doc_id each give theirs.
+    """
     marks = _let(_hashes(F.coalesce("text", F.lit(""))), lambda h: _chosen(h, lambda i, x: F.struct(i.alias("place"), x.alias("hash"))))
     return docs.select("doc_id", F.inline(marks))
 
@@ -71,16 +84,26 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(F.slice(F.sort_array(F.array_union(a, b)), 1, M), lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
 
 
-def _followers(keys: DataFrame) -> DataFrame:
-    """Each key (d, x) with the next one (nd, nx) in ascending order, the first after the last. No task gets all keys."""
-    placed = cut(keys.repartitionByRange("d", "x").withColumn("part", F.spark_partition_id()))
-    me = F.struct("d", "x")
-    firsts = placed.groupBy("part").agg(F.min(me).alias("first"))  # a row for each partition
-    firsts = firsts.withColumn("then", F.lead("first").over(Window.orderBy("part")))
-    whole = firsts.agg(F.min("first").alias("start"))
-    ends = firsts.crossJoin(F.broadcast(whole)).select("part", F.coalesce("then", "start").alias("then"))  # one row, and one for each partition
-    led = placed.withColumn("n", F.lead(me).over(Window.partitionBy("part").orderBy("d", "x")))
-    return led.join(F.broadcast(ends), "part").select("d", "x", F.coalesce("n", "then").alias("n")).select("d", "x", F.col("n.d").alias("nd"), F.col("n.x").alias("nx"))
+def _bounds(rows: DataFrame) -> list[int]:
+    """Ascending ids at which parts of about PART_BYTES start, PARTS of them at most: quantiles of ``d``."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(PARTS, -(-size // PART_BYTES))
+    if parts < 2:
+        return []
+    found = rows.agg(F.percentile_approx("d", [k / parts for k in range(1, parts)], max(10_000, 4 * parts))).first()[0]
+    return sorted(set(found or []))
+
+
+def _part(bounds: list[int]) -> Column:
+    """Number of the part of ``d``: how many bounds it reaches. Looked up in two steps, a stretch of bounds and a bound in it."""
+    if not bounds:
+        return F.lit(0)
+    width = round(len(bounds) ** 0.5)
+    many = F.array(*map(F.lit, bounds)) if len(bounds) < 2000 else F.from_json(F.lit(str(bounds)), "array<bigint>")
+    reached = lambda some: F.size(F.filter(some, lambda b: b <= F.col("d")))
+    stretches = F.array(*[F.lit(b) for b in bounds[::width]])
+    at = lambda k: F.when(k > 0, (k - 1) * width + reached(F.slice(many, (k - 1) * width + 1, F.lit(width)))).otherwise(0)
+    return F.when(F.col("d").isNull(), 0).otherwise(_let(reached(stretches), at))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -90,27 +113,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text counts as empty. The next document is by ascending doc_id (nulls first), then a hash of the text; rows equal
     in doc_id and text are one document here, and each gets its row; a single document follows itself; other
     columns are ignored; an empty table gives an empty result.
+
+    Texts move once, to parts of consecutive ids, each with the first document of the part after it as its last row.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), text.alias("text")).withColumn("x", F.xxhash64("text"))
-    made = cut(rows.select("d", "x", F.length("text").cast("long").alias("n"), sketch(F.col("text")).alias("sk")))
-    short = made.groupBy("d", "x").agg(F.first("n").alias("n"), F.first("sk").alias("sk"))
-    next_ = _followers(short.select("d", "x"))
-    after = short.select(F.col("d").alias("nd"), F.col("x").alias("nx"), F.col("sk").alias("next_sk"))
-    same = lambda a, b, c, e: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(e))
-    pairs = cut(
-        short.alias("s").join(next_.alias("f"), same("s.d", "f.d", "s.x", "f.x")).select("s.d", "s.x", "n", "sk", "f.nd", "f.nx")
-        .alias("p").join(after.alias("a"), same("p.nd", "a.nd", "p.nx", "a.nx")).select("p.d", "p.x", "n", "sk", "p.nd", "p.nx", "next_sk")
-    )
-    giver = pairs.select(F.col("nd").alias("gd"), F.col("nx").alias("gx"), F.col("d").alias("td"), F.col("x").alias("tx"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    unique = rows if made.count() == short.count() else rows.dropDuplicates(["d", "x"])
-    heads = unique.join(giver, same("d", "gd", "x", "gx")).select("td", "tx", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"))
-    full = rows.alias("r").join(heads, same("r.d", "td", "r.x", "tx")).join(pairs.alias("p"), same("r.d", "p.d", "r.x", "p.x"))
-    half = F.floor(F.col("n") / 2)
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - half).cast("int")), F.col("head"))
-    out = full.select(F.col("r.d").alias("doc_id"), F.col("n").alias("n_chars"), "sk", "next_sk", edited.alias("e"))
-    out = out.select("doc_id", "n_chars", "sk", "next_sk", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("e")).alias("esk"))
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", shown(F.col("sk")).alias("fingerprint"), shown(F.col("esk")).alias("edited_fingerprint"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("x", F.xxhash64("text")).withColumn("part", _part(_bounds(rows)).cast("int"))
+    keys = cut(rows.groupBy("d", "x", "part").agg(F.count(F.lit(1)).alias("n")))
+    repeated = not keys.filter("n > 1").isEmpty()
+    if repeated:
+        rows = rows.dropDuplicates(["d", "x"])
+    # The first document of each part goes to the part before it as well; the first of all to the last part.
+    firsts = keys.groupBy("part").agg(F.min(F.struct("d", "x")).alias("first"))  # a row for each part
+    to = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
+    firsts = cut(firsts.select("first", to.alias("to")))
+    heads = rows.join(F.broadcast(firsts.select(F.col("first.d").alias("fd"), F.col("first.x").alias("fx"), "to")), F.col("d").eqNullSafe(F.col("fd")) & (F.col("x") == F.col("fx")))  # PARTS rows at most
+    form = lambda df, part, own: df.select("d", "x", "text", sketch(F.col("text")).alias("sk"), F.col(part).alias("part"), F.lit(own).alias("own"))
+    every = form(rows, "part", True).unionByName(form(heads, "to", False))
+    order = Window.partitionBy("part").orderBy(F.desc("own"), "d", "x")
+    pairs = every.select("*", F.lead("text").over(order).alias("next_text"), F.lead("sk").over(order).alias("next_sk")).filter("own")
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    out = pairs.select(F.col("d").alias("doc_id"), "x", n.cast("long").alias("n_chars"), "sk", "next_sk", edited.alias("e"))
+    out = out.select("doc_id", "x", "n_chars", "sk", "next_sk", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("e")).alias("esk"))
+    out = out.select(
+        "doc_id", "x", "n_chars", "edited_sha256", shown(F.col("sk")).alias("fingerprint"), shown(F.col("esk")).alias("edited_fingerprint"),
         likeness(F.col("sk"), F.col("esk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"),
     )
+    if repeated:  # as many rows as the table has
+        again = keys.filter("n > 1").select(F.col("d").alias("rd"), F.col("x").alias("rx"), "n")
+        out = out.join(again, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("x") == F.col("rx")), "left")
+        out = out.withColumn("one", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("n").cast("int"), F.lit(1))))).drop("rd", "rx", "n", "one")
+    return out.drop("x")
