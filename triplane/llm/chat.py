@@ -1,8 +1,9 @@
 """Chat formatting by a grammar round trip, with DataFrame operations alone.
 
 A turn is rendered as a frame of control strings around its text. The rendered turn is parsed again by a
-deterministic grammar and held against the source. Turns that do not come back are rendered anew with escapes; the
-frame's opening says which form it has, and an escaped text holds no control sign, so it always comes back.
+deterministic grammar and held against the source. Turns that do not come back are rendered anew with escapes, parsed and
+held against the source again; the frame's opening says which form it has. An escaped text holds no control sign, so it
+comes back; one that did not would end the job with an error.
 
     turn   = "<s>[INST]" text "[/INST]"             a user's turn
            | "<s>[OUT]" text "</s>"                 an assistant's turn, under the loss mask
@@ -58,12 +59,15 @@ def _parsed(rendered: Column) -> Column:
 def rendered_turns(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text and the rendered turn, escaped only where its plain form does not come back."""
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_plain", _render(F.col("role"), F.col("text"), False))
-    # The plain form also may not touch its frame: "<s" at the end of a text would join what follows.
-    back = _parsed(F.concat(F.col("_plain"), F.lit("<s>[INST][/INST]")))
-    same = (F.size(back) == 2) & (back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text")) & (back[1]["text"] == "")
+    def comes_back(rendered: Column) -> Column:
+        # With a turn behind it: "<s" at the end of a text may not join what follows.
+        back = _parsed(F.concat(rendered, F.lit("<s>[INST][/INST]")))
+        return (F.size(back) == 2) & (back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text")) & (back[1]["text"] == "")
+
+    plain, escaped = (_render(F.col("role"), F.col("text"), form) for form in (False, True))
     clean = ~F.rlike(F.concat_ws(" ", "role", "text"), F.lit(CONTROL))
-    return rows.withColumn("rendered", F.when(same & clean, F.col("_plain")).otherwise(_render(F.col("role"), F.col("text"), True))).drop("_plain")
+    lost = F.raise_error(F.concat(F.lit("a turn does not come back from its escaped form: "), F.col("text")))
+    return rows.withColumn("rendered", F.when(clean & comes_back(plain), plain).when(comes_back(escaped), escaped).otherwise(lost))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
