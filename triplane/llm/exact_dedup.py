@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 BLOCK_BYTES = 4096
 
@@ -80,16 +80,25 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     Null text counts as empty; rows equal in doc_id and text count once; further columns are ignored; an empty
     table gives an empty result. Where every doc_id of a group is null, keep_id is null and one such row is kept.
     """
-    named = cut(block_names(docs, block_bytes))
-    groups = named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    with scratch(docs.sparkSession) as keep:
+        named = cut(block_names(docs, block_bytes))
+        # Written, so that both sides of the join are plain shuffles and Spark can split a name that very many documents have.
+        groups = cut(named.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+        keep(named, groups)
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with one row, the one of the largest doc_id, for each text; the columns stay."""
-    keep = exact_duplicates(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    """``docs`` with one row, the one of the largest doc_id, for each text; the columns stay.
+
+    Null text counts as empty. Of rows equal in doc_id and text one stays, whichever Spark reads first, whatever their other columns hold;
+    where every doc_id of a text is null, one row of it stays. An empty table gives an empty result.
+    """
+    with scratch(docs.sparkSession) as keep_table:
+        keep = cut(exact_duplicates(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
+        keep_table(keep)
     rows = docs.withColumn("_row_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     out = rows.join(keep, (rows._row_sha == keep._sha) & rows.doc_id.eqNullSafe(keep._id), "left_semi")
     return out.dropDuplicates(["doc_id", "_row_sha"]).drop("_row_sha")

@@ -6,10 +6,10 @@ postings that nobody shares are skipped, a document with fewer shared postings t
 rest only a prefix, the rarest postings, is merged into candidates: two documents with MATCHES postings in common meet in
 it. Candidates whose signatures agree often enough are confirmed on their full sets.
 
-Documents of equal sets are one class from the start. Each class is first compared with one hub, the class of most and
-longest lists among those it meets, so that a group of copies costs as many checks as it has members; classes that stay
-alone choose hubs among themselves again while that finds links. What then lies in one list with several components
-has to be held against each other. Of classes compared with the same hub the two differences from it are known, and
+Documents of equal sets are one class from the start. Each class is first compared with two hubs, of the heaviest classes
+of its lists the one that most classes may match and the one whose signature agrees most, so that a group of copies costs
+twice as many checks as it has members at most. What then lies in one list with several components has to be held
+against each other. Of classes compared with the same hub the two differences from it are known, and
 sets are similar just where their differences share enough: that is a join on the rarest shingles of the differences,
 again by prefixes, and needs no pair for two members whose edits are their own. The few pairs of a list that have no
 hub in common are checked one by one. Nothing else is left out.
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, small_batches
+from .common import cut, per_text, scratch, small_batches
 from .components import components
 
 WORDS, SIMILAR = 5, 75
 COORDINATES, MATCHES = 64, 32
-#: Coordinates in which a class and the hub of a list agree at least to be compared; rounds of hubs among classes that stay alone.
-NEAR_HUB, ROUNDS = 20, 4
+#: Coordinates in which a class and the chief hub of a list agree at least to be compared.
+NEAR_HUB = 20
 #: Bytes of a text that are hashed at once; longer words are hashed by themselves.
 BLOCK = 1 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -190,7 +190,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     small_batches(pairs.sparkSession)
     # Each text is sent once to every part it is needed in: pairs are dealt by their hub and a salt of about 64 members.
-    counts = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salted = cut(pairs.join(counts, "a").withColumn("part", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / 64).cast("long")))).select("part", "a", "b"))
     need = salted.select("part", F.col("a").alias("rep"), F.lit(None).cast("long").alias("hub")).distinct().unionByName(salted.select("part", F.col("b").alias("rep"), F.col("a").alias("hub")))
     rows = need.join(texts, "rep")
@@ -226,19 +226,24 @@ def _listed(posts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, info: DataFrame, least: int) -> DataFrame:
-    """Of the pairs (a, b): those whose signatures agree in ``least`` coordinates. ``info``: rep, n_shingles, sig."""
+    """a, b, na, nb (sizes), m: of the pairs (a, b), those whose signatures agree in ``least`` coordinates or more, m. ``info``: rep, n_shingles, sig."""
     side = lambda k: info.select(F.col("rep").alias(k), F.col("n_shingles").alias("n" + k), F.col("sig").alias("s" + k))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_matches("sa", "sb") >= least).select("a", "b", "na", "nb")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("m", _matches("sa", "sb"))
+    return both.filter(F.col("m") >= least).select("a", "b", "na", "nb", "m")
 
 
 def _to_hubs(prefix: DataFrame, info: DataFrame) -> DataFrame:
-    """a, b: each class of ``prefix`` (c, v, rep, weight) that may match a list's heaviest class, and of those hubs the one that most classes may match."""
+    """a, b: each class b of ``prefix`` (c, v, rep, weight) and two of the hubs, its lists' heaviest classes, that it may match.
+
+    One is the hub that most classes may match, the other the one that agrees with b in most coordinates.
+    """
     hubs = prefix.groupBy("c", "v").agg(F.max(F.struct("weight", (-F.col("rep")).alias("a")))["a"].alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "v", (-F.col("a")).alias("a"))
     met = prefix.select("c", "v", F.col("rep").alias("b")).join(hubs, ["c", "v"]).filter("a <> b").select("a", "b").distinct()
-    may = cut(_agreeing(met, info, MATCHES).filter(_sized(F.col("na"), F.col("nb"))).select("a", "b"))
-    members = cut(may.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
-    best = may.join(members, "a").groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a"))
-    return cut(best.select((-F.col("a")).alias("a"), "b"))
+    may = cut(_agreeing(met, info, MATCHES).filter(_sized(F.col("na"), F.col("nb"))).select("a", "b", "m"))
+    members = may.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    low = (-F.col("a")).alias("a")
+    best = may.join(members, "a").groupBy("b").agg(F.array_distinct(F.array(-F.max(F.struct("n", low))["a"], -F.max(F.struct("m", "n", low))["a"])).alias("a"))
+    return cut(best.select(F.explode("a").alias("a"), "b"))
 
 
 def _family_links(tests: DataFrame, place: DataFrame) -> DataFrame:
@@ -280,6 +285,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that have shingles are linked with each other, whatever their texts; a null doc_id stays by itself, component_id
     null. Other columns are ignored; an empty table gives an empty result.
     """
+    with scratch(docs.sparkSession) as keep:
+        made, found = _components_of(docs)
+        keep(made, found)
+    out = made.select("doc_id", "n_shingles", "d1", "d2").join(found, ["d1", "d2", "n_shingles"], "left")
+    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signatures of ``docs``, and d1, d2, n_shingles, component_id of each class of equal sets; both written."""
     made = cut(signatures(docs))
     live = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # A class is named by a number of its own, since rows of one doc_id may be of several classes.
@@ -296,30 +311,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.coalesce("text", F.lit("")).alias("text"))
     texts = cut(rows.join(at, ["_id", "_x"]).select("rep", "text").dropDuplicates(["rep"]))
 
-    # Rounds of hubs: all classes, then those that stay alone, as long as a twentieth of the checks finds a link.
     tests = cut(_compared(_to_hubs(prefix, info), texts))
-    for _ in range(ROUNDS):
-        done = tests.select(F.col("a").alias("rep")).unionByName(tests.filter("far <= near").select(F.col("b").alias("rep"))).distinct()
-        again = _to_hubs(prefix.join(done, "rep", "left_anti"), info)
-        if again.isEmpty():
-            break
-        found = cut(_compared(again, texts))
-        n, hits = found.agg(F.count(F.lit(1)), F.count_if(F.col("far") <= F.col("near"))).first()
-        tests = tests.unionByName(found)
-        if 20 * hits < n:
-            break
     linked = tests.filter("far <= near").select("a", "b")
     # Rows of one doc_id are linked.
     key = F.struct("d1", "d2", "n_shingles")
     mixed = live.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
-    texts_of = cut(live.join(mixed, "doc_id").select("doc_id", "d1", "d2", "n_shingles").distinct().join(classes.select("d1", "d2", "n_shingles", F.col("rep").alias("b")), ["d1", "d2", "n_shingles"]).select("doc_id", "b"))
-    same_id = texts_of.join(texts_of.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b").filter("a <> b")
-    linked = linked.unionByName(same_id)
-    roots = cut(components(linked))
+    texts_of = live.join(mixed, "doc_id").select("doc_id", "d1", "d2", "n_shingles").distinct().join(classes.select("d1", "d2", "n_shingles", F.col("rep").alias("b")), ["d1", "d2", "n_shingles"])
+    texts_of = cut(texts_of.select("doc_id", "b"))
+    linked = linked.unionByName(texts_of.join(texts_of.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").select("a", "b").filter("a <> b"))
+    roots = components(linked)
 
     # What one component has to itself can match no other one, as with postings that nobody shares. So only lists of
     # several components count, each class needs MATCHES of them, and the rarest (by components) are merged.
-    place = cut(wanted.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root")))
+    place = cut(wanted.join(roots, F.col("rep") == F.col("node"), "full").select(F.coalesce("rep", "node").alias("rep"), F.coalesce("root", "rep").alias("root")))
     placed = cut(listed.select("rep", "n_shingles", F.explode("p").alias("x")).select("x.c", "x.v", "rep", "n_shingles").join(place, "rep"))
     open_lists = placed.select("c", "v", "root").distinct().groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     many = cut(_listed(placed.join(open_lists, ["c", "v"]), ["rep", "n_shingles", "root"]).drop("p"))
@@ -336,7 +340,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     asked = cut(_agreeing(strangers, info, NEAR_HUB).select("a", "b"))
     if not asked.isEmpty():
         tests = tests.unionByName(cut(_compared(asked, texts)))
-    linked = linked.unionByName(_family_links(tests, many.select("rep", "root"))).unionByName(tests.filter("far <= near").select("a", "b"))
+    more = _family_links(tests, many.select("rep", "root")).unionByName(tests.filter("far <= near").select("a", "b"))
 
     # Pairs of a list without a hub in common: one of them at least does not know the list's hub.
     knows = tests.select(F.col("b").alias("rep"), F.col("a").alias("hub")).unionByName(tests.select(F.col("a").alias("rep"), F.col("a").alias("hub")).distinct())
@@ -351,17 +355,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = sized.filter("out").alias("x").join(sized.alias("y"), (F.col("x.key") == F.col("y.key")) & may)
     pairs = cut(pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
     if not pairs.isEmpty():
-        linked = linked.unionByName(_compared(pairs, texts).filter("far <= near").select("a", "b"))
-
-    roots = cut(components(linked))
+        more = more.unionByName(_compared(pairs, texts).filter("far <= near").select("a", "b"))
+
+    # Links between components join them.
+    root_of = lambda k: place.select(F.col("rep").alias(k), F.col("root").alias("r" + k))
+    across = cut(more.join(root_of("a"), "a").join(root_of("b"), "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if not across.isEmpty():
+        wider = components(across).select(F.col("node").alias("root"), F.col("root").alias("wide"))
+        place = place.join(wider, "root", "left").select("rep", F.coalesce("wide", "root").alias("root"))
     least = classes.select("rep", F.col("first.doc_id").alias("least"))
-    named = roots.join(least, F.col("node") == F.col("rep")).select("node", "root", "least")
+    named = cut(place.join(least, "rep").select(F.col("rep").alias("node"), "root", "least"))
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     found = classes.select("d1", "d2", "n_shingles", "rep", F.col("first.doc_id").alias("least")).join(named, F.col("rep") == F.col("node"), "left")
-    found = found.select("d1", "d2", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
-    out = made.select("doc_id", "n_shingles", "d1", "d2").join(found, ["d1", "d2", "n_shingles"], "left")
-    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return made, cut(found.select("d1", "d2", "n_shingles", F.coalesce("component_id", "least").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -370,5 +376,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Rows without words stay, as do those of a null doc_id; of rows that share the smallest doc_id all stay. An empty
     table gives an empty result.
     """
-    drop = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    with scratch(docs.sparkSession) as keep:
+        drop = cut(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
+        keep(drop)
     return docs.join(drop, "doc_id", "left_anti")
