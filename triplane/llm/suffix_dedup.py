@@ -2,10 +2,11 @@
 
 A byte goes when a string of SPAN bytes that covers it also starts anywhere else. Texts are not compared as wholes: each
 string of SPAN bytes belongs to an anchor, the smallest hash of GRAM bytes in it, and equal strings have equal anchors.
-Around an anchor lies a segment, all strings that belong to it. Equal segments are counted before anything moves; where
-an anchor's segments differ, one of each kind goes, with all others of its anchor, into a bucket of bounded size, and a
-Burrows-Wheeler transform of the bucket tells, by backward extension in breadth, which of their strings repeat.
-An anchor with very many kinds of segments is first split by longer and longer common cores.
+Around an anchor lies a segment, all strings that belong to it. Segments are counted by kind (their digest) before anything
+moves; of every kind that has several, two go, with one or two of each other kind of its anchor, into a bucket of bounded
+size, and a Burrows-Wheeler transform of the bucket tells, by backward extension in breadth, which of their strings
+repeat. Digests only choose what is sent; bytes decide. An anchor with very many kinds of segments is first split by longer
+and longer common cores.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, small_batches
+from .common import cut, per_text, scratch, small_batches
 
 SPAN, GRAM = 200, 32
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -198,7 +199,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _segments(rows: DataFrame, kinds: DataFrame) -> DataFrame:
-    """g, d, back, seg: the bytes of one segment of each kind."""
+    """g, d, back, seg: the bytes of each segment named by ``kinds`` (uid, h, d, pos, back, fwd)."""
     wanted = kinds.groupBy("uid").agg(F.collect_list(F.struct("h", "d", "pos", "back", "fwd")).alias("p"))  # of one text
     small_batches(rows.sparkSession)
 
@@ -217,7 +218,7 @@ def _segments(rows: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def _in_buckets(items: DataFrame, size: int) -> DataFrame:
-    """g, d, a, b: the first and last start of a repeated string in each segment that has one."""
+    """g, d, a, b: the first and last start of a repeated string in each kind of segment that has one."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         found = repeated_starts(pdf["seg"].tolist())
@@ -225,7 +226,8 @@ def _in_buckets(items: DataFrame, size: int) -> DataFrame:
         return pdf.loc[has, ["g", "d"]].assign(a=[int(x[0]) for x in found if len(x)], b=[int(x[-1]) for x in found if len(x)])
 
     dealt = items.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(max(1, -(-size // BUCKET_BYTES)))))
-    return dealt.groupBy("bucket").applyInPandas(solve, "g long, d long, a int, b int")
+    found = dealt.groupBy("bucket").applyInPandas(solve, "g long, d long, a int, b int")
+    return found.groupBy("g", "d").agg(F.min("a").alias("a"), F.max("b").alias("b"))  # of two of a kind
 
 
 def _split(items: DataFrame, step: int) -> DataFrame:
@@ -249,8 +251,14 @@ def _split(items: DataFrame, step: int) -> DataFrame:
     return items.mapInArrow(run, "g long, d long, back int, seg binary, off int, pg long, pd long")
 
 
+def _two(rows: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
+    """keys..., of...: the first and the last row of each kind, or its one row; ``of`` starts with what tells its rows apart."""
+    ends = rows.groupBy(*keys).agg(F.min(F.struct(*of)).alias("x"), F.max(F.struct(*of)).alias("y"))
+    return ends.select(*keys, F.explode(F.array_distinct(F.array("x", "y"))).alias("z")).select(*keys, "z.*")
+
+
 def _resolve(items: DataFrame, level: int = 0) -> DataFrame:
-    """g, d, a, b of ``items`` (g, d, back, seg; one of each kind)."""
+    """g, d, a, b of ``items`` (g, d, back, seg; one or two of each kind)."""
     groups = cut(items.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("seg")).alias("size")).filter("kinds > 1"))
     hot = groups.filter(F.col("kinds") > KINDS).select("g")
     if level == len(STEPS) or hot.isEmpty():
@@ -258,10 +266,8 @@ def _resolve(items: DataFrame, level: int = 0) -> DataFrame:
         return _in_buckets(items.join(groups.select("g"), "g"), size)
     cool = groups.filter(F.col("kinds") <= KINDS)
     done = _in_buckets(items.join(cool.select("g"), "g"), cool.agg(F.sum("size")).first()[0] or 0)
-    parts = cut(_split(items.join(hot, "g"), STEPS[level]))
-    kinds = cut(parts.groupBy("g", "d").agg(F.count(F.lit(1)).alias("n"), F.first("back").alias("back"), F.first("seg").alias("seg")))
-    often = kinds.filter("n > 1").select("g", "d", F.lit(0).alias("a"), (F.length("seg") - SPAN).alias("b"))
-    found = cut(often.unionByName(_resolve(kinds.select("g", "d", "back", "seg"), level + 1)))
+    parts = cut(_split(items.join(hot, "g"), STEPS[level]).withColumn("own", F.monotonically_increasing_id()))
+    found = cut(_resolve(cut(_two(parts, ["g", "d"], ["own", "back", "seg"])).select("g", "d", "back", "seg"), level + 1))
     whole = parts.select("g", "d", "off", "pg", "pd").join(found, ["g", "d"]).groupBy("pg", "pd").agg(F.min(F.col("off") + F.col("a")).alias("a"), F.max(F.col("off") + F.col("b")).alias("b"))
     return done.unionByName(whole.select(F.col("pg").alias("g"), F.col("pd").alias("d"), "a", "b"))
 
@@ -270,12 +276,10 @@ def _spans(rows: DataFrame) -> DataFrame:
     """uid, p: array of (s, e), the byte ranges that repeated strings cover in each text that has any."""
     often = cut(_anchor_rows(rows).groupBy("h").count().filter("count > 1").select("h"))
     members = cut(_anchor_rows(rows).join(often, "h"))
-    kinds = cut(members.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "pos", "back", "fwd")).alias("x")))
-    mixed = cut(kinds.groupBy("h").count().filter("count > 1").select("h"))
-    items = cut(_segments(rows, kinds.join(mixed, "h").select("h", "d", "x.*")))
-    found = _resolve(items).select(F.col("g").alias("h"), "d", "a", "b")
-    full = kinds.filter("n > 1").select("h", "d", F.lit(0).alias("a"), F.col("x.fwd").cast("int").alias("b"))
-    found = cut(full.unionByName(found).groupBy("h", "d").agg(F.min("a").alias("a"), F.max("b").alias("b")))
+    with scratch(rows.sparkSession) as keep:
+        kinds = cut(_two(members, ["h", "d"], ["uid", "pos", "back", "fwd"]))
+        found = cut(_resolve(cut(_segments(rows, kinds))).select(F.col("g").alias("h"), "d", "a", "b"))
+        keep(found)
     start = F.col("pos") - F.col("back")
     placed = members.join(found, ["h", "d"]).select("uid", (start + F.col("a")).alias("s"), (start + F.col("b") + SPAN).alias("e"))
     return placed.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("p"))  # of one text
@@ -288,7 +292,9 @@ def without_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     repeat; doc_id may be null; other columns are ignored; an empty table gives an empty result.
     """
     rows = _keyed(docs)
-    spans = _spans(rows)
+    with scratch(docs.sparkSession) as keep:
+        spans = cut(_spans(rows))
+        keep(spans)
     small_batches(docs.sparkSession)
 
     def run(batches):
