@@ -159,6 +159,53 @@ def test_repeats_keep_rows(spark, odd):
     assert sorted(r.n_removed for r in suffix_dedup.without_repeats(null).collect()) == [0, 300, 300]
 
 
+def _passages():
+    """Long shared passages, whole, edited, shifted and within one text; a short phrase in common; texts of one sign."""
+    r = random.Random(21)
+    new = lambda n: "".join(r.choice("abcdefgh éü") for _ in range(n))
+    p, q, phrase = new(3000), new(700), new(60)
+    edited = p[:900] + "X" + p[901:1800] + "inserted" + p[1800:2500] + p[2540:]
+    texts = [new(300) + p + new(100), p, new(50) + edited + new(250), p[:1500], q + new(20) + q + new(199) + q[3:], new(90) + q[100:500] + p[2000:2600], "z" * 650, "z" * 199, "yz" * 170 + q[:250]]
+    return [*texts, *(new(400) + phrase + new(400) for _ in range(5)), texts[2], "", None]
+
+
+@pytest.mark.parametrize("stretch", [1 << 13, 64])
+def test_repeats_in_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
+    docs = _numbered(spark, _passages())
+    want = dict(_repeats({i: t.encode() for i, t in _plain(docs).items()}))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 15_000
+
+
+def _sent(docs):
+    rows = suffix_dedup._keyed(docs)
+    members = suffix_dedup._anchor_rows(rows)
+    often = members.groupBy("h").count().filter("count > 1").select("h")
+    return suffix_dedup._wanted(suffix_dedup._kinds(members.join(often, "h"))).agg(F.sum("n")).first()[0] or 0
+
+
+def test_repeats_send_each_byte_about_once(spark):
+    """A passage in two texts goes as two stretches (overlapping segments would be over three times as long), a short phrase not at all."""
+    r = random.Random(22)
+    new = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    p, phrase = new(6000), new(60)
+    assert 11_500 < _sent(_numbered(spark, [new(300) + p + new(300), p, new(400)])) < 14_000
+    assert _sent(_numbered(spark, [new(400) + phrase + new(400) for _ in range(9)])) == 0
+
+
+def test_anchors_of_texts_hashed_together():
+    r = random.Random(23)
+    parts = [bytes(r.choice(b"ab" if k % 3 else b"abcdefgh") for _ in range(r.choice([200, 201, 340, 900]))) for k in range(30)]
+    parts += [b"a" * 500, parts[0] + parts[1]]
+    whole = list(zip(*(x.tolist() for x in suffix_dedup.anchors(parts)), strict=True))
+    alone = [(h, k, *more) for k, p in enumerate(parts) for h, _, *more in zip(*(x.tolist() for x in suffix_dedup.anchors([p])), strict=True)]
+    assert whole == alone and [x[0] for x in whole] == suffix_dedup.anchors(parts, named=False)[0].tolist()
+    for k, p in enumerate(parts):
+        held = [s for _, part, _, first, last, *_ in whole if part == k for s in range(first, last + 1)]
+        assert held == list(range(len(p) - 199))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_interval_expansion(seed):
     r = random.Random(seed)
